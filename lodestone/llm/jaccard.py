@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable, need, small_batches, table
@@ -307,9 +307,15 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns kept, with one row of each class: that with the class's id."""
-    classes = jaccard_classes(docs, **options).filter("doc_id = class_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
-    kept = docs.join(durable(classes, "jac-kept-ids"), docs["doc_id"].cast("long") == F.col("_kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL")) if "doc_id" in docs.columns else kept
+    classes = jaccard_classes(docs, **options).filter("doc_id = class_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("rows"))
+    classes = durable(classes, "jac-kept-ids")
+    own = docs["doc_id"].cast("long")
+    single = docs.join(classes.filter("rows = 1"), own == F.col("_id"), "left_semi")
+    # Rows that share the id of a kept document are copies of each other, or ambiguous: the least text stays.
+    repeated = docs.join(classes.filter("rows > 1"), own == F.col("_id"), "left_semi")
+    place = Window.partitionBy(repeated["doc_id"]).orderBy(*[F.col(c).asc_nulls_last() for c in repeated.columns])
+    repeated = repeated.withColumn("_place", F.row_number().over(place)).filter("_place = 1").drop("_place")
+    return single.unionByName(repeated).unionByName(docs.filter(docs["doc_id"].isNull()))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
