@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -295,8 +296,6 @@ def coordinate_key(lat: Column, lon: Column) -> Column:
 
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Jaro-Winkler similarity, in Arrow batches (there is no built-in form)."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else jaro_winkler_of(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,8 +77,6 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0
     ``polygons`` has polygon_id and ring, an array of [lon, lat] arrays.  Both sides
     meet on grid cells of ``cell`` degrees, so only points near a polygon are cast.
     """
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def inside(lat: pd.Series, lon: pd.Series, ring: pd.Series) -> pd.Series:
         return pd.Series(_inside(lat, lon, ring))

@@ -26,7 +26,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    pass
+    """Import the modules that register queries."""
+    from . import linkage_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
