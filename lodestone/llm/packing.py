@@ -163,11 +163,23 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
         a = a[(left[a] > 0) & (left[gap - a] > 0)]
         return next(([int(x), gap - int(x)] for x in a[:16] if times([*used, int(x), gap - int(x)])), None)
 
+    whole = (1 << (capacity + 1)) - 1
+
+    def pair_sums() -> int:
+        """Bit s is set if two of the lengths left sum to s."""
+        lengths = np.nonzero(left)[0].tolist()
+        there = sum(1 << x for x in lengths)
+        sums = 0
+        for x in lengths:
+            sums |= there << x
+        return sums & whole
+
     def triple(gap: int, used: list[int]) -> list[int] | None:
-        firsts = np.nonzero(left[: max(gap - 1, 0)])[0][::-1]
-        for a in firsts:
-            a = int(a)
-            if a and times([*used, a]) and (two := pair(gap - a, [*used, a])):
+        if gap < 3:
+            return None
+        sums = pair_sums()
+        for a in np.nonzero(left[: gap - 1])[0][::-1].tolist():
+            if sums >> (gap - a) & 1 and times([*used, a]) and (two := pair(gap - a, [*used, a])):
                 return [a, *two]
         return None
 
