@@ -39,6 +39,8 @@ GRAM = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MASK40 = np.uint64((1 << 40) - 1)
 BATCH_DOCS = 512
+#: Anchors that a task gathers before it deals them.
+DEAL_ANCHORS = 1_000_000
 #: Bytes of distinct stretches that are ranked together.
 RANK_BYTES = 3_000_000
 
@@ -182,79 +184,95 @@ def _unpack5(x: bytes) -> np.ndarray:
     return raw.view("<u8").ravel()
 
 
+def _by(where: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(value, columns...) for each distinct value of ``where``."""
+    order = np.argsort(where, kind="stable")
+    cuts = np.nonzero(np.diff(where[order]))[0] + 1
+    for k in np.split(order, cuts) if len(order) else []:
+        yield (int(where[k[0]]), *(c[k] for c in columns))
+
+
+def _shared(a: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (a, t) by a, whether a has several t, and whether a row is the first of its a."""
+    order = np.lexsort((t, a))
+    a, t = a[order], t[order]
+    once = np.ones(len(a), dtype=bool)
+    once[1:] = (a[1:] != a[:-1]) | (t[1:] != t[:-1])
+    a, t = a[once], t[once]
+    head = np.ones(len(a), dtype=bool)
+    head[1:] = a[1:] != a[:-1]
+    group = np.cumsum(head) - 1
+    return a, t, np.bincount(group)[group] > 1 if len(a) else head, head
+
+
 def shared_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(th, anchors) of the anchors that texts of different ``th`` (a hash of the text) share; several rows a text."""
+    """(short, anchors) of the anchors that a text shares with another one.
+
+    ``short`` is 40 bits of ``th``, a hash of the text, with the lowest bit set.
+    Anchors travel in packed rows, one for each target and DEAL_ANCHORS anchors:
+    first by anchor, then, where shared, by text.
+    """
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small_batches(spark, BATCH_DOCS)
-    schema = "part int, th long, a binary, t binary"
-    named = ["part", "th", "a", "t"]
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    named, schema = ["part", "mine", "a", "t"], "part int, mine boolean, a binary, t binary"
+    kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], named)
+
+    def answers(a: np.ndarray, t: np.ndarray) -> list[tuple]:
+        return [(k, True, _pack5(x), _pack5(y)) for k, x, y in _by(((t >> np.uint64(1)) % np.uint64(parts)).astype(np.int64), a, t)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            a, t, many, head = _shared(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+            # Shared here: settled for these texts, and one mark (0) for those of other tasks.
+            rows = answers(a[many], t[many])
+            sent = head | ~many
+            a, t = a[sent], np.where(many[sent], np.uint64(0), t[sent])
+            return batch_of(rows + [(k, False, _pack5(x), _pack5(y)) for k, x, y in _by((a % np.uint64(parts)).astype(np.int64), a, t)])
+
         for batch in batches:
             data, offsets = _texts(batch.column("text"))
             text, h, _, _ = anchors(data, offsets, length, gram)
-            if not len(h):
-                continue
-            th = np.asarray(batch.column("th")).astype(np.int64)[text]
-            a = h & _MASK40
-            order = np.lexsort((th, a))
-            a, th = a[order], th[order]
-            once = np.ones(len(a), dtype=bool)
-            once[1:] = (a[1:] != a[:-1]) | (th[1:] != th[:-1])
-            a, th = a[once], th[once]
-            head = np.ones(len(a), dtype=bool)
-            head[1:] = a[1:] != a[:-1]
-            group = np.cumsum(head) - 1
-            many = np.bincount(group)[group] > 1
-            rows = []
-            # Shared within the batch: settled for its texts, and one mark (0) for those of other batches.
-            order = np.argsort(th[many], kind="stable")
-            ta, tt = a[many][order], th[many][order]
-            for k in np.split(np.arange(len(tt)), np.nonzero(np.diff(tt))[0] + 1) if len(tt) else []:
-                rows.append((int(tt[k[0]]) % parts, int(tt[k[0]]), _pack5(ta[k]), None))
-            sent = head | ~many
-            a, t = a[sent], np.where(many[sent], np.uint64(0), (th[sent].view(np.uint64) & _MASK40) | np.uint64(1))
-            where = (a % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            for k in np.split(order, np.nonzero(np.diff(where[order]))[0] + 1):
-                rows.append((int(where[k[0]]), None, _pack5(a[k]), _pack5(t[k])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], named)
+            if len(h):
+                t = (np.asarray(batch.column("th")).view(np.uint64)[text] & _MASK40) | np.uint64(1)
+                held.append((h & _MASK40, t))
+                size += len(h)
+            if size >= DEAL_ANCHORS:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, t = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for batch in batches:
-            own = batch.filter(batch.column("th").is_valid())
+            own = batch.filter(batch.column("mine"))
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column("th"), own.column("a"), pa.array([True] * own.num_rows)], ["th", "a", "full"])
-            for x, y in zip(batch.column("a").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                if y is not None:
+                yield own
+            for mine, x, y in zip(*(batch.column(c).to_pylist() for c in named[1:]), strict=True):
+                if not mine:
                     a.append(_unpack5(x))
                     t.append(_unpack5(y))
-        a, t = np.concatenate(a), np.concatenate(t)
-        order = np.lexsort((t, a))
-        a, t = a[order], t[order]
-        once = np.ones(len(a), dtype=bool)
-        once[1:] = (a[1:] != a[:-1]) | (t[1:] != t[:-1])
-        a, t = a[once], t[once]
-        head = np.ones(len(a), dtype=bool)
-        head[1:] = a[1:] != a[:-1]
-        group = np.cumsum(head) - 1
-        least = t[head][group] if len(t) else t
-        keep = ((np.bincount(group)[group] > 1) | (least == 0)) & (t > 0) if len(t) else np.zeros(0, bool)
-        order = np.argsort(t[keep], kind="stable")
-        a, t = a[keep][order], t[keep][order]
-        rows = [(int(t[k[0]]), _pack5(a[k])) for k in np.split(np.arange(len(t)), np.nonzero(np.diff(t))[0] + 1)] if len(t) else []
+        a, t, many, head = _shared(np.concatenate(a), np.concatenate(t))
+        marked = (t[head] == 0)[np.cumsum(head) - 1] if len(a) else many
+        keep = (many | marked) & (t > 0)
+        if keep.any():
+            yield batch_of(answers(a[keep], t[keep]))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, t = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for batch in batches:
+            a += map(_unpack5, batch.column("a").to_pylist())
+            t += map(_unpack5, batch.column("t").to_pylist())
+        rows = [(k, _pack5(x)) for k, x in _by(np.concatenate(t).astype(np.int64), np.concatenate(a))]
         for at in range(0, len(rows), 5000):
-            some = rows[at : at + 5000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.binary()), pa.array([False] * len(some))], ["th", "a", "full"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[at : at + 5000]], pa.int64()), pa.array([r[1] for r in rows[at : at + 5000]], pa.binary())], ["short", "a"])
 
     dealt = texts.select("th", "text").mapInArrow(deal, schema).repartition(parts, "part")
-    found = dealt.mapInArrow(meet, "th long, a binary, full boolean")
-    # The dealt records know 40 bits of a text's hash (the lowest one set).
-    short = F.when(F.col("full"), F.col("th").bitwiseAND(F.lit(int(_MASK40)))).otherwise(F.col("th")).bitwiseOR(F.lit(1))
-    return found.select(short.alias("short"), "a").groupBy("short").agg(F.collect_list("a").alias("a"))
+    return dealt.mapInArrow(meet, schema).repartition(parts, "part").mapInArrow(gather, "short long, a binary")
 
 
 def covered(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -265,8 +283,8 @@ def covered(texts: DataFrame, length: int, gram: int) -> DataFrame:
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small_batches(spark, BATCH_DOCS)
-    schema = "anchor long, doc_id long, at int, stretch binary, done boolean"
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
+    schema = "anchor long, doc_id long, at binary, stretch binary, done boolean"
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
     named = ["anchor", "doc_id", "at", "stretch", "done"]
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,23 +297,22 @@ def covered(texts: DataFrame, length: int, gram: int) -> DataFrame:
             for k, packed in enumerate(lists):
                 lo, hi = bounds[k], bounds[k + 1]
                 if lo < hi and packed:
-                    keep[lo:hi] = np.isin(h[lo:hi] & _MASK40, _unpack5(b"".join(packed)))
+                    keep[lo:hi] = np.isin(h[lo:hi] & _MASK40, _unpack5(packed))
             ids = np.asarray(batch.column("doc_id"))
-            best: dict[tuple[int, bytes], tuple] = {}
-            rows = []
+            best: dict[tuple[int, bytes], int] = {}
+            places: dict[tuple[int, int, bytes], list[int]] = {}
             at = np.nonzero(keep)[0]
             at = at[np.argsort(ids[text[at]], kind="stable")]
             raw = data.tobytes()
             for k in at.tolist():
-                a, b = int(first[k]), int(last[k]) + length
-                key = (int(h[k].astype(np.int64)), raw[a:b])
+                key = (int(h[k].astype(np.int64)), raw[int(first[k]) : int(last[k]) + length])
                 doc = int(ids[text[k]])
-                row = (key[0], doc, a - int(offsets[text[k]]), key[1])
-                if key in best and best[key][1] < doc:
-                    rows.append((*row[:3], np.int32(b - a).tobytes(), True))
-                else:
-                    best.setdefault(key, row)
-                    rows.append((*row, False))
+                best.setdefault(key, doc)
+                places.setdefault((doc, *key), []).append(int(first[k]) - int(offsets[text[k]]))
+            rows = []
+            for (doc, anchor, stretch), found in places.items():
+                over = best[anchor, stretch] < doc
+                rows.append((anchor, doc, np.array(found, dtype="<i4").tobytes(), np.int32(len(stretch)).tobytes() if over else stretch, over))
             for lo in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 20_000], strict=True), kinds, strict=True)], named)
 
@@ -324,11 +341,12 @@ def covered(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 flags[key] = f
         for anchor, doc, at, stretch in rows:
             key = (anchor, stretch)
+            where = np.frombuffer(at, dtype="<i4").tolist()
             if doc > kinds_of[key]:
-                out.append((doc, at, at + len(stretch)))
+                out += [(doc, p, p + len(stretch)) for p in where]
             elif (f := flags.get(key)) is not None and f.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
-                out += [(doc, at + int(s), at + int(e) - 1 + length) for s, e in zip(edge[::2], edge[1::2], strict=True)]
+                out += [(doc, p + int(s), p + int(e) - 1 + length) for p in where for s, e in zip(edge[::2], edge[1::2], strict=True)]
         return out
 
     def packed(spans: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -344,7 +362,8 @@ def covered(texts: DataFrame, length: int, gram: int) -> DataFrame:
             done = []
             for anchor, doc, at, stretch, over in zip(*(batch.column(c).to_pylist() for c in named), strict=True):
                 if over:
-                    done.append((doc, at, at + int(np.frombuffer(stretch, dtype=np.int32)[0])))
+                    n = int(np.frombuffer(stretch, dtype=np.int32)[0])
+                    done += [(doc, p, p + n) for p in np.frombuffer(at, dtype="<i4").tolist()]
                     continue
                 if size > RANK_BYTES and rows[-1][0] != anchor:
                     if spans := settle(rows):
