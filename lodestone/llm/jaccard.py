@@ -289,9 +289,16 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRE
             sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.binary()), pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], ["sig", "shingles"])
 
-    texts = known.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = known.join(wanted.filter(F.col("m") > 0).select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = texts.mapInArrow(whole, "sig binary, shingles binary").select(F.xxhash64("sig").alias("rid"), "shingles").groupBy("rid").agg(F.first("shingles").alias("shingles"))
-    sets = durable(wanted.select("rid", "m", "keys").join(sets, "rid"), "jac-sets")
+    # Few texts are wanted: a runtime Bloom filter (of bounded size) keeps the others out of the shuffle.
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "0")
+    try:
+        sets = durable(wanted.select("rid", "m", "keys").join(sets, "rid"), "jac-sets")
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     full = kept.join(sets, "rid").select("key", "i", "j", "part", "rid", "m", "keys", "shingles")
     found = durable(by_bucket(full).mapInArrow(_links(threshold), "a long, b long, links long"), "jac-links")
     links = found.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
