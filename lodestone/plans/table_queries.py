@@ -217,10 +217,10 @@ def _(spark, sf_dir):
 
 @query("C06_effective_share", """
 WITH p AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), q AS (SELECT *, sum(v) OVER (PARTITION BY l_partkey) AS total FROM p)
-SELECT l_partkey, l_suppkey, round(CASE WHEN total > 0 THEN v / total END, 6) AS share, round(least(total / 100, 1.0) * CASE WHEN total > 0 THEN v / total END, 6) AS fte FROM q""")
+SELECT l_partkey, l_suppkey, round(CASE WHEN total > 0 THEN v / total END, 10) AS share, round(least(total / 100, 1.0) * CASE WHEN total > 0 THEN v / total END, 10) AS fte FROM q""")
 def _(spark, sf_dir):
     per = t(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("l_quantity"))
-    return P.effective_share(per, "l_partkey", "l_suppkey", "l_quantity").select("l_partkey", "l_suppkey", r("share"), r("fte"))
+    return P.effective_share(per, "l_partkey", "l_suppkey", "l_quantity").select("l_partkey", "l_suppkey", r("share", 10), r("fte", 10))
 
 
 @query("C07_modal", "SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS n FROM events GROUP BY 1, 2) WHERE n = 1")
