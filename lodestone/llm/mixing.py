@@ -31,6 +31,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def hash_key(row_key: Column, seed: str) -> Column:
+    """The hash-random key that orders rows within their source."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(row_key, F.lit(""))))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, target) from rows of (source, size).
 
@@ -67,7 +72,7 @@ def mix(rows: DataFrame, seed: str = "mix", weights=WEIGHTS, max_epochs: int = M
     by its hash; equal keys are ordered by size.
     """
     spark = rows.sparkSession
-    rows = durable(rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce("row_key", F.lit("")))).cast("string")), "mix-sizes")
+    rows = durable(rows.withColumn("h", hash_key(F.col("row_key"), seed)), "mix-sizes")
     n = rows.count()
     digits = 1
     while 16**digits * range_rows < n:
@@ -90,25 +95,28 @@ def mix(rows: DataFrame, seed: str = "mix", weights=WEIGHTS, max_epochs: int = M
     return out.withColumn("taken", F.col("epochs") * F.col("size") + part).drop("h", "range_before", "in_range")
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """The mixed documents, whole: each row as often as the mix takes it.
 
     All columns stay.  The row at a source's cut is taken once more when at least
     half of it lies within the budget, so a source's words miss its target by at
-    most half of one document.
+    most half of one document.  Rows up to the cut are known by their own key, so
+    the documents meet one row a source and are not shuffled.  Repeated rows share
+    one key and are taken alike, up to the next whole epoch; rows without words are
+    taken once.
     """
-    spark = docs.sparkSession
-    key = F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.md5(F.coalesce(docs["text"], F.lit(""))))
-    sized = need(docs, source="string", text="string", doc_id="long").select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))).alias("row_key"), "source", word_count(F.col("text")).alias("size"))
-    mixed = mix(sized, **options)
-    times = F.col("epochs") + ((F.col("taken") - F.col("epochs") * F.col("size")) * 2 >= F.col("size")).cast("long") * (F.col("taken") > F.col("epochs") * F.col("size")).cast("long")
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(times)
-    picked = mixed.withColumn("times", times).filter("times > 0").groupBy("row_key", F.coalesce("source", F.lit("")).alias("src")).agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("copies"))
-    picked = durable(picked, "mix-picked").alias("p")
-    joined = docs.alias("d").join(picked, (key == F.col("p.row_key")) & (F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col("p.src")))
-    # Repeated rows share one key: their joint count is spread over them as a whole multiple, rounded up.
-    each = F.ceil(F.col("p.times") / F.col("p.copies")).cast("int")
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), each)).alias("_again")).drop("_again")
+    row_key = lambda doc_id, text: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+    sized = need(docs, source="string", text="string", doc_id="long").select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "source", word_count(F.col("text")).alias("size"))
+    mixed = mix(sized, seed, **options)
+    part = F.col("taken") - F.col("epochs") * F.col("size")
+    last = F.max(F.when((part > 0) & (part * 2 >= F.col("size")), hash_key(F.col("row_key"), seed)))
+    cuts = durable(mixed.groupBy("source").agg(F.max("epochs").alias("epochs"), last.alias("last")), "mix-cuts").alias("p")
+    own = hash_key(row_key(docs["doc_id"], docs["text"]), seed)
+    again = F.coalesce(own <= F.col("p.last"), F.lit(False)).cast("int")
+    wordless = ~F.coalesce(docs["text"].cast("string").rlike(WORD), F.lit(False))
+    times = F.when(wordless, F.lit(1)).otherwise(F.col("p.epochs").cast("int") + again)
+    joined = docs.alias("d").join(cuts, docs["source"].cast("string").eqNullSafe(F.col("p.source")))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("_again")).drop("_again")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,6 +266,31 @@ def test_mixing_taken(spark, edge):
     assert sorted(map(repr, got)) == sorted(map(repr, queries.op8_mixing(spark, edge).collect()))
 
 
+def test_mixed_documents(spark, edge, sf):
+    for path in (edge, sf):
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+        sizes = {x: len(re.findall(r"[^\x20\x09-\x0D]+", x or "")) for _, x, _ in rows}
+        key = lambda r: hashlib.md5(f"mix:{'' if r[0] is None else r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest()
+        per = collections.Counter()
+        for _, x, s in rows:
+            per[s] += sizes[x]
+        targets = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(per.items()), "source string, size long")).collect()}
+        want = collections.Counter()
+        for s, total in per.items():
+            epochs, left = divmod(int(targets[s]), total) if total else (0, 0)
+            groups = collections.defaultdict(list)
+            for r in rows:
+                if r[2] == s:
+                    groups[key(r)].append(r)
+            for _, same in sorted(groups.items()):
+                n = sizes[same[0][1]]
+                some = n > 0 and left > 0 and left * 2 >= n
+                left = max(0, left - n * len(same))
+                want[same[0]] += len(same) * (1 if n == 0 else epochs + some)
+        assert collections.Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.mix_documents(docs).collect()) == +want
+
+
 def brute_links(docs):
     sets, links, root = {}, collections.Counter(), {}
     rows = [(k, d, x.split()) for k, (d, x) in enumerate(docs)]
