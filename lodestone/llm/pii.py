@@ -22,6 +22,7 @@ support; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def _phone_ok(m: Column) -> Column:
 #: kind, pattern, what a match must satisfy, a cheap condition without which a text has none.
 KINDS: tuple[tuple[str, str, Callable[[Column], Column], Callable[[Column], Column]], ...] = (
     ("email", EMAIL, lambda m: F.lit(True), lambda t: F.contains(t, F.lit("@"))),
-    ("ip", IP, _ip_ok, lambda t: t.rlike(r"[0-9]\.[0-9]{1,20}\.[0-9]")),
+    ("ip", IP, _ip_ok, lambda t: t.rlike(r"[0-9]\.[0-9]+\.[0-9]")),
     ("card", CARD, _card_ok, lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}")),
     ("phone", PHONE, _phone_ok, lambda t: F.contains(t, F.lit("+"))),
 )
@@ -169,9 +170,13 @@ def analyse(docs: DataFrame, **thresholds) -> DataFrame:
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """The documents with each span replaced by its kind in brackets; terms become ``[TERM]``.
 
-    All columns stay; ``n_chars``, if there is one, follows the new text.
+    All columns stay; ``n_chars``, if there is one, follows the new text.  Only
+    texts that may hold personal data are joined with their spans; the others
+    pass unshuffled.
     """
-    rows = docs.select("*", F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("_key"))
+    whole = docs["text"].cast("string")
+    may = F.coalesce(reduce(Column.__or__, (k[3](whole) for k in KINDS)), F.lit(False))
+    rows = docs.filter(may).select("*", F.md5(F.coalesce(whole, F.lit(""))).alias("_key"))
     found = analyse(docs, **thresholds)
     spans = found.filter("size(spans) > 0").groupBy("key").agg(F.first(F.array_sort(F.transform(F.concat("spans", "terms"), lambda s: F.struct(s["start"], s["end"], s["kind"])))).alias("spans"))
     spans = durable(spans, "pii-replace").withColumnsRenamed({"key": "_k", "spans": "_spans"})
@@ -189,7 +194,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     new = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", start, step, rest))
     out = rows.withColumn("_new", new)
     pick = {"text": F.col("_new"), "n_chars": F.when(F.col("_spans").isNull(), out["n_chars"]).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*[pick[c].alias(c) if c in pick else out[c] for c in docs.columns])
+    return docs.filter(~may).union(out.select(*[pick[c].alias(c) if c in pick else out[c] for c in docs.columns]))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
