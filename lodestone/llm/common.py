@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to Python; bounds a worker's memory for long texts.
 ARROW_ROWS = 256
+#: Bits of a membership bitmap (8 MB), however many keys it holds.
+BITMAP_BITS = 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +55,30 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)) + 1
+
+
+def bitmap_of(keys: DataFrame, key: str, name: str) -> DataFrame:
+    """(bucket, bits): which hashes of ``key`` occur, as at most ``BITMAP_BITS / 32768`` rows of 4 KB."""
+    bit = _bit(keys[key])
+    rows = keys.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).distinct()
+    return durable(rows.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")), name)
+
+
+def with_hit(df: DataFrame, key: Column, bitmap: DataFrame, hit: str) -> DataFrame:
+    """Add a boolean column: false only where ``key`` is surely not among the bitmap's keys.
+
+    The bitmap is broadcast, which its fixed size allows; fuller bitmaps only give
+    more false hits, so whoever calls this must settle the hits exactly.
+    """
+    bit = _bit(key)
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(bitmap["bits"], (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = df.join(F.broadcast(bitmap), F.bitmap_bucket_number(bit) == bitmap["bucket"], "left")
+    return found.select(*[df[c] for c in df.columns], F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)).alias(hit))
+
+
 def need(df: DataFrame, **columns: str) -> DataFrame:
     """Select the named input columns, cast, under the operator's own names.
 

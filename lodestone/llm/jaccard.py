@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, need, small_batches, table
+from .common import bitmap_of, durable, need, small_batches, table, with_hit
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -314,15 +314,20 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns kept, with one row of each class: that with the class's id."""
-    classes = jaccard_classes(docs, **options).filter("doc_id = class_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("rows"))
-    classes = durable(classes, "jac-kept-ids")
     own = docs["doc_id"].cast("long")
-    single = docs.join(classes.filter("rows = 1"), own == F.col("_id"), "left_semi")
+    ids = jaccard_classes(docs, **options).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
+    ids = durable(ids.agg(F.count_if(F.col("doc_id") == F.col("class_id")).alias("rows"), F.count(F.lit(1)).alias("all_rows")), "jac-ids")
+    # Most ids have one row, which stays: only the texts of the others, and of false hits, are shuffled.
+    marked = with_hit(docs, own, bitmap_of(ids.filter(~F.expr("rows = 1 AND all_rows = 1")), "_id", "jac-open"), "_lodestone_hit")
+    plain = marked.filter(~F.col("_lodestone_hit") | docs["doc_id"].isNull()).drop("_lodestone_hit")
+    docs = marked.filter(F.col("_lodestone_hit") & docs["doc_id"].isNotNull()).drop("_lodestone_hit")
+    own = docs["doc_id"].cast("long")
+    single = docs.join(ids.filter("rows = 1"), own == F.col("_id"), "left_semi")
     # Rows that share the id of a kept document are copies of each other, or ambiguous: the least text stays.
-    repeated = docs.join(classes.filter("rows > 1"), own == F.col("_id"), "left_semi")
+    repeated = docs.join(ids.filter("rows > 1"), own == F.col("_id"), "left_semi")
     place = Window.partitionBy(repeated["doc_id"]).orderBy(*[F.col(c).asc_nulls_last() for c in repeated.columns])
     repeated = repeated.withColumn("_place", F.row_number().over(place)).filter("_place = 1").drop("_place")
-    return single.unionByName(repeated).unionByName(docs.filter(docs["doc_id"].isNull()))
+    return plain.unionByName(single).unionByName(repeated)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
