@@ -262,8 +262,10 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     # Buckets of the first level, and of the second below those that are too large.
     firsts = reps.select("rid", F.explode(F.array_distinct(F.col("paths.a"))).alias("key"))
     sizes = durable(firsts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "jac-sizes")
-    small = firsts.join(sizes.filter(F.col("size") <= split), "key").select("key", "rid", "size")
-    large = sizes.filter(F.col("size") > split).select(F.col("key").alias("a"))
+    # Most keys belong to one set only and leave before the shuffle.
+    shared = with_hit(firsts, F.col("key"), bitmap_of(sizes, "key", "jac-shared"), "hit").filter("hit")
+    small = shared.join(sizes.filter(F.col("size") <= split), "key").select("key", "rid", "size")
+    large = durable(sizes.filter(F.col("size") > split).select(F.col("key").alias("a")), "jac-large")
     seconds = reps.select("rid", F.explode("paths").alias("p")).select("rid", "p.a", F.col("p.b").alias("key")).filter("key != 0").join(large, "a", "left_semi").select("key", "rid").distinct()
     second_sizes = seconds.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = durable(small.unionByName(seconds.join(second_sizes, "key").select("key", "rid", "size")), "jac-members")
