@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, jaccard, licences, mixing, packing, pii, queries, substrings, topk, toxicity, warc
+from lodestone.llm import common, fingerprint, jaccard, licences, mixing, packing, pii, queries, substrings, topk, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, key string"
 
@@ -340,3 +340,12 @@ def test_licences(spark, edge):
     assert [(h[0], h[3]) for h in scan("This code is licensed under the GNU General Public License, version 3")[1]] == [("GPL-3.0", "variant")]
     assert scan("the licence of poets, version 9")[1] == [] and scan(None) == (0, [])
     assert {(r["doc_id"], r["licences"]) for r in queries.op10_licences(spark, edge).filter("n_licences > 0").collect()} == {(24, "CC-BY-NC-4.0,MIT")}
+
+
+def test_crowded_bitmap(spark, edge, monkeypatch):
+    """Bitmaps full of false hits change no result."""
+    docs = spark.read.parquet(f"{edge}/documents.parquet")
+    rows = lambda: sorted(map(str, jaccard.drop_near_copies(docs).collect()))
+    want = rows()
+    monkeypatch.setattr(common, "BITMAP_BITS", 8)
+    assert rows() == want
