@@ -9,10 +9,11 @@ The method then protects the found values (entities).  A term's disclosure of an
 entity is their pointwise mutual information over the corpus,
 ``log2(N * n_et / (n_e * n_t))``, with n_et the documents where the term stands
 within ``CONTEXT`` characters of the entity, n_e and n_t those that hold the
-entity and the term anywhere, and N all documents.  A term with at least
-``MIN_SUPPORT`` distinct supporting texts that gives away ``SHARE`` of the
-entity's information content ``log2(N / n_e)``, and at least ``MIN_BITS``, is
-marked wherever it stands in a document with that entity.
+entity and the term anywhere, and N all documents.  Every entity is scored: a
+term needs ``MIN_SUPPORT`` distinct supporting texts, or all texts of an entity
+that stands in fewer.  A term that gives away ``SHARE`` of the entity's
+information content ``log2(N / n_e)``, and at least ``MIN_BITS``, is marked
+wherever it stands in a document with that entity.
 
 Defined results: a null text is an empty one; spans of different kinds may
 overlap; repeated rows get equal results; copies count as documents but not as
@@ -114,16 +115,16 @@ def revealing_terms(docs: DataFrame, held: DataFrame, n_docs: int, min_support:
     mentions = mentions.groupBy("entity", "key").agg(F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"))
     copies = held.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     mentions = durable(mentions.join(copies, "key"), "pii-mentions")
-    entities = mentions.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_support)
+    entities = mentions.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts"))
     pairs = (
-        mentions.join(entities.select("entity"), "entity", "left_semi")
-        .select("entity", "copies", F.explode("near").alias("term"))
+        mentions.select("entity", "copies", F.explode("near").alias("term"))
         .filter(F.length("term") >= MIN_TERM)
         .groupBy("entity", "term")
         .agg(F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("support"))
-        .filter(F.col("support") >= min_support)
+        .join(entities, "entity")
+        .filter(F.col("support") >= F.least(F.lit(min_support), "texts"))
     )
-    pairs = durable(pairs.join(entities.select("entity", "n_e"), "entity"), "pii-pairs")
+    pairs = durable(pairs.select("entity", "term", "n_et", "n_e"), "pii-pairs")
     wanted = durable(pairs.select("term").distinct(), "pii-terms")  # a stored table: broadcast only when small
     counts = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     bits = F.log2(F.lit(float(n_docs)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))

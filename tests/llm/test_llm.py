@@ -93,6 +93,15 @@ def test_pii_terms_and_masks(spark):
     assert out[40] == "alpha [TERM] [EMAIL] common words here"
 
 
+def test_pii_terms_of_rare_entities(spark):
+    """An entity that stands in one text, or in copies of one, has revealing terms too."""
+    filler = [f"common words here number{i}" for i in range(60)]
+    held = ["quixby j@x.org common words here"] + ["wuzzle +1 (555) 123-4567 common words here"] * 5
+    docs = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(filler + held)], "doc_id long, text string, n_chars long")
+    out = [r["text"] for r in pii.sanitise(docs).orderBy("doc_id").collect()]
+    assert out == filler + ["[TERM] [EMAIL] common words here"] + ["[TERM] [PHONE] common words here"] * 5
+
+
 def test_topk(spark, edge):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{edge}/embeddings.parquet").collect()]
     fine = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
