@@ -7,13 +7,12 @@ gaps between them.
 
 The method then protects the found values (entities).  A term's disclosure of an
 entity is their pointwise mutual information over the corpus,
-``log2(N * n_et / (n_e * n_t))``, with n_et the documents where the term stands
-within ``CONTEXT`` characters of the entity, n_e and n_t those that hold the
-entity and the term anywhere, and N all documents.  Every entity is scored: a
-term needs ``MIN_SUPPORT`` distinct supporting texts, or all texts of an entity
-that stands in fewer.  A term that gives away ``SHARE`` of the entity's
-information content ``log2(N / n_e)``, and at least ``MIN_BITS``, is marked
-wherever it stands in a document with that entity.
+``log2(N * n_et / (n_e * n_t))``, with n_e, n_t and n_et the documents that hold
+the entity, the term and both anywhere, and N all documents.  Every entity is
+scored: a term needs ``MIN_SUPPORT`` distinct supporting texts, or all texts of
+an entity that stands in fewer.  A term that has information about an entity,
+and gives away ``SHARE`` of its information content ``log2(N / n_e)``, is marked
+wherever it stands in any document, unless within a found value.
 
 Defined results: a null text is an empty one; spans of different kinds may
 overlap; repeated rows get equal results; copies count as documents but not as
@@ -23,17 +22,14 @@ support; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, need, table
+from .common import bitmap_of, durable, need, table, with_hit
 
-CONTEXT = 100
 MIN_SUPPORT = 3
 SHARE = 0.75
-MIN_BITS = 3.0
 #: Letters and digits make a term; shorter ones are left alone.
 TERM = r"[\p{L}\p{N}]+"
 MIN_TERM = 3
@@ -99,58 +95,61 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def revealing_terms(docs: DataFrame, held: DataFrame, n_docs: int, min_support: int = MIN_SUPPORT, share: float = SHARE, min_bits: float = MIN_BITS) -> DataFrame:
-    """(entity, term, bits) of the terms that reveal an entity.
+def revealing_terms(docs: DataFrame, held: DataFrame, n_docs: int, min_support: int = MIN_SUPPORT, share: float = SHARE) -> DataFrame:
+    """(term) of the terms that reveal an entity.
 
     ``docs`` has ``text``; ``held`` has (key, text, spans) of the documents with base spans.
     """
-    mentions = held.select("key", "text", F.explode("spans").alias("s"))
-    around = F.concat_ws(
-        " ",
-        F.substring("text", F.greatest(F.col("s.start") - CONTEXT + 1, F.lit(1)).cast("int"), F.least(F.col("s.start"), F.lit(CONTEXT)).cast("int")),
-        F.substring("text", (F.col("s.end") + 1).cast("int"), F.lit(CONTEXT)),
-    )
-    mentions = mentions.select("key", F.concat_ws(":", "s.kind", "s.value").alias("entity"), _words(around).alias("near"))
-    # Copies of a text have equal mentions: count each distinct text once, with its number of copies.
-    mentions = mentions.groupBy("entity", "key").agg(F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"))
-    copies = held.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    mentions = durable(mentions.join(copies, "key"), "pii-mentions")
-    entities = mentions.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+    # Copies of a text are alike: take each distinct text once, with its number of copies.
+    texts = durable(held.groupBy("key").agg(F.min_by("text", "key").alias("text"), F.min_by("spans", "key").alias("spans"), F.count(F.lit(1)).alias("copies")), "pii-texts")
+    mentions = texts.select("key", "copies", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
+    # Entities of the same texts have equal counts: score them as one, told by sums over their texts.
+    mark = lambda seed: F.xxhash64("key", F.lit(seed))
+    entities = mentions.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts"), F.sum(mark(1).cast("decimal(20,0)")).alias("a"), F.bit_xor(mark(2)).alias("b"))
+    entities = entities.select("entity", F.struct("n_e", "texts", "a", "b").alias("same"))
+    members = durable(mentions.join(entities, "entity").select("key", "copies", "same").distinct(), "pii-members")
+    words = texts.select("key", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).filter(F.length("term") >= MIN_TERM)
     pairs = (
-        mentions.select("entity", "copies", F.explode("near").alias("term"))
-        .filter(F.length("term") >= MIN_TERM)
-        .groupBy("entity", "term")
+        members.join(words, "key")
+        .groupBy("same", "term")
         .agg(F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("support"))
-        .join(entities, "entity")
-        .filter(F.col("support") >= F.least(F.lit(min_support), "texts"))
-    )
-    pairs = durable(pairs.select("entity", "term", "n_et", "n_e"), "pii-pairs")
-    wanted = durable(pairs.select("term").distinct(), "pii-terms")  # a stored table: broadcast only when small
-    counts = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    bits = F.log2(F.lit(float(n_docs)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    scored = pairs.join(counts, "term").withColumn("bits", bits)
-    return scored.filter((F.col("bits") >= min_bits) & (F.col("bits") >= share * F.log2(F.lit(float(n_docs)) / F.col("n_e")))).select("entity", "term", "bits")
-
-
-def term_spans(held: DataFrame, terms: DataFrame) -> DataFrame:
-    """(key, terms) with the spans of revealing terms in each distinct text that holds their entity."""
-    one = held.groupBy("key").agg(F.min_by("text", "key").alias("text"), F.min_by("spans", "key").alias("spans"))
-    hits = (
-        one.select("key", F.explode("spans").alias("s"))
-        .select("key", F.concat_ws(":", "s.kind", "s.value").alias("entity"))
-        .join(terms.select("entity", "term"), "entity")
-        .select("key", "term")
-        .distinct()
+        .filter(F.col("support") >= F.least(F.lit(min_support), "same.texts"))
     )
-    hits = durable(hits, "pii-hits")
-    texts = one.join(hits.select("key").distinct(), "key", "left_semi")
-    parts = F.zip_with(F.split("text", TERM, -1), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda g, w: F.struct(F.length(g).cast("long").alias("g"), w.alias("w")))
-    rows = texts.select("key", F.posexplode(parts).alias("pos", "x")).filter("x.w IS NOT NULL")
-    before = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    size = F.length("x.w").cast("long")
-    rows = rows.withColumn("end", F.sum(F.col("x.g") + size).over(before))
-    rows = rows.select("key", F.lower("x.w").alias("term"), F.struct(F.lit("term").alias("kind"), (F.col("end") - size).alias("start"), F.col("end"), F.col("x.w").alias("value")).alias("s"))
-    return rows.join(hits, ["key", "term"], "left_semi").groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("terms"))
+    counts = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).filter(F.length("term") >= MIN_TERM).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n, n_e = F.lit(float(n_docs)), F.col("same.n_e")
+    bits = F.log2(n * F.col("n_et") / (n_e * F.col("n_t")))
+    return pairs.join(counts, "term").filter((bits > 0) & (bits >= share * F.log2(n / n_e))).select("term").distinct()
+
+
+def places(text: Column, spans: Column, terms: Column) -> Column:
+    """Array of the spans of ``terms`` in a text, without those that lie within its base spans."""
+    none = F.array().cast(f"array<{SPAN}>")
+    pieces = F.zip_with(F.split(text, TERM, -1), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda g, w: F.struct(F.length(g).cast("long").alias("g"), w.alias("w")))
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + x["g"]
+        end = start + F.coalesce(F.length(x["w"]), F.lit(0)).cast("long")
+        span = F.struct(F.lit("term").alias("kind"), start.alias("start"), end.alias("end"), x["w"].alias("value"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(terms, F.lower(x["w"])), F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+
+    found = F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda s: s["out"])
+    # Bound as a variable: an expression within the filter would be computed for each term again.
+    free = lambda b: F.filter(found, lambda t: ~F.exists(b, lambda s: (s["start"] <= t["start"]) & (t["end"] <= s["end"])))
+    return F.get(F.transform(F.array(spans), free), F.lit(0))
+
+
+def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, terms) with the spans of revealing terms in each distinct text of ``rows`` that has some.
+
+    ``rows`` has (key, text).  Bitmaps keep words that are no such terms, and texts
+    without one, out of the shuffles.
+    """
+    words = rows.select("key", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).filter(F.length("term") >= MIN_TERM)
+    words = with_hit(words, words["term"], bitmap_of(terms, "term", "pii-term-bits"), "hit").filter("hit")
+    hits = durable(words.join(terms, "term", "left_semi").groupBy("key").agg(F.collect_set("term").alias("found")), "pii-hits")
+    texts = with_hit(rows, rows["key"], bitmap_of(hits, "key", "pii-key-bits"), "hit").filter("hit").groupBy("key").agg(F.min_by("text", "key").alias("text"))
+    marked = texts.join(hits, "key").select("key", places(F.col("text"), base_spans(F.col("text")), F.col("found")).alias("terms"))
+    return durable(marked, "pii-marked").filter(F.size("terms") > 0)
 
 
 def analyse(docs: DataFrame, **thresholds) -> DataFrame:
@@ -158,13 +157,13 @@ def analyse(docs: DataFrame, **thresholds) -> DataFrame:
 
     ``key`` is the MD5 of the text.
     """
-    rows = need(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.select("doc_id", F.md5("text").alias("key"), "text", base_spans(F.col("text")).alias("spans"))
+    whole = need(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.md5("text"))
+    rows = whole.select("doc_id", "key", "text", base_spans(F.col("text")).alias("spans"))
     found = durable(rows.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "pii-found")
     held = found.filter("text IS NOT NULL").select("key", "text", "spans")
     n_docs = found.count()
-    terms = durable(revealing_terms(need(docs, text="string"), held, n_docs, **thresholds), "pii-revealing")
-    marked = term_spans(held, terms)
+    terms = durable(revealing_terms(whole, held, n_docs, **thresholds), "pii-revealing")
+    marked = term_spans(whole.select("key", "text"), terms)
     return found.select("doc_id", "key", "spans").join(marked, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")))
 
 
@@ -172,15 +171,15 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """The documents with each span replaced by its kind in brackets; terms become ``[TERM]``.
 
     All columns stay; ``n_chars``, if there is one, follows the new text.  Only
-    texts that may hold personal data are joined with their spans; the others
-    pass unshuffled.
+    texts that a bitmap marks as having spans are joined with them; the others pass
+    unshuffled.
     """
-    whole = docs["text"].cast("string")
-    may = F.coalesce(reduce(Column.__or__, (k[3](whole) for k in KINDS)), F.lit(False))
-    rows = docs.filter(may).select("*", F.md5(F.coalesce(whole, F.lit(""))).alias("_key"))
     found = analyse(docs, **thresholds)
-    spans = found.filter("size(spans) > 0").groupBy("key").agg(F.first(F.array_sort(F.transform(F.concat("spans", "terms"), lambda s: F.struct(s["start"], s["end"], s["kind"])))).alias("spans"))
+    spans = found.filter("size(spans) + size(terms) > 0").groupBy("key").agg(F.first(F.array_sort(F.transform(F.concat("spans", "terms"), lambda s: F.struct(s["start"], s["end"], s["kind"])))).alias("spans"))
     spans = durable(spans, "pii-replace").withColumnsRenamed({"key": "_k", "spans": "_spans"})
+    keyed = docs.withColumn("_key", F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    keyed = with_hit(keyed, keyed["_key"], bitmap_of(spans, "_k", "pii-replace-bits"), "_hit")
+    rows = keyed.filter("_hit")
     rows = rows.join(spans, rows["_key"] == spans["_k"], "left")
     text = rows["text"]
 
@@ -195,7 +194,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     new = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", start, step, rest))
     out = rows.withColumn("_new", new)
     pick = {"text": F.col("_new"), "n_chars": F.when(F.col("_spans").isNull(), out["n_chars"]).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return docs.filter(~may).union(out.select(*[pick[c].alias(c) if c in pick else out[c] for c in docs.columns]))
+    return keyed.filter("NOT _hit").select(*docs.columns).union(out.select(*[pick[c].alias(c) if c in pick else out[c] for c in docs.columns]))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,19 @@ def test_pii_terms_of_rare_entities(spark):
     assert out == filler + ["[TERM] [EMAIL] common words here"] + ["[TERM] [PHONE] common words here"] * 5
 
 
+def test_pii_terms_in_all_documents(spark):
+    """A revealing term is found far from its entity, masked where the entity is not, and for an entity of many rows."""
+    filler = [f"common words here number{i}" for i in range(40)]
+    far = "quixby " + "common words here " * 12 + "j@x.org"
+    bare = "Quixby common words here"
+    often = [f"zanzibar k@y.org common words number{i}" for i in range(20)]  # 20 of 62: no term can have 3 bits
+    docs = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(filler + [far, bare] + often)], "doc_id long, text string, n_chars long")
+    out = [r["text"] for r in pii.sanitise(docs).orderBy("doc_id").collect()]
+    assert out[:40] == filler
+    assert out[40] == far.replace("quixby", "[TERM]").replace("j@x.org", "[EMAIL]") and out[41] == "[TERM] common words here"
+    assert out[42:] == [x.replace("zanzibar", "[TERM]").replace("k@y.org", "[EMAIL]") for x in often]
+
+
 def test_topk(spark, edge):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{edge}/embeddings.parquet").collect()]
     fine = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
