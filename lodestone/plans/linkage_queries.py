@@ -258,6 +258,13 @@ def _(spark, sf_dir):
     return a.join(b, "k", "full").select("k", F.coalesce("a", F.lit(0)).alias("before"), F.coalesce("b", F.lit(0)).alias("after"))
 
 
+@query("J03_full_outer_counts_whole", "SELECT k, coalesce(a, 0) AS before, coalesce(b, 0) AS after FROM (SELECT c_custkey AS k, 1::BIGINT AS a FROM customer) FULL JOIN (SELECT o_custkey AS k, count(*) AS b FROM orders GROUP BY 1) USING (k)")
+def _(spark, sf_dir):
+    a = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.lit(1).cast("long").alias("a"))
+    b = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("b"))
+    return a.join(b, "k", "full").select("k", F.coalesce("a", F.lit(0)).alias("before"), F.coalesce("b", F.lit(0)).alias("after"))
+
+
 @query("J04_J12_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def _(spark, sf_dir):
     return J.semi_join(*_cust(spark, sf_dir), ["c_custkey"], min_kept=0.0)

@@ -284,6 +284,13 @@ def _(spark, sf_dir):
     return O.address_status(left, right, ["k"], "id", "org")
 
 
+@query("O10_address_status_whole", "SELECT c.c_custkey AS id, count(DISTINCT s_suppkey) AS n, CASE WHEN count(DISTINCT s_suppkey) = 1 THEN min(s_suppkey) END AS org, CASE count(DISTINCT s_suppkey) WHEN 0 THEN 'no_match' WHEN 1 THEN 'unique_exact' ELSE 'multiple_plausible' END AS status, coalesce(string_agg(DISTINCT s_suppkey, '|' ORDER BY s_suppkey), '') AS orgs FROM customer c LEFT JOIN supplier s ON s_nationkey = c_nationkey GROUP BY 1")
+def _(spark, sf_dir):
+    left = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("k"))
+    right = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("org"), F.col("s_nationkey").alias("k"))
+    return O.address_status(left, right, ["k"], "id", "org")
+
+
 @query("O11_O12_precedence", _FAM + ", k AS (SELECT *, CASE family WHEN 'brand_size' THEN 1 WHEN 'brand' THEN 2 ELSE 3 END AS rank FROM pr), m AS (SELECT *, min(rank) OVER (PARTITION BY id) AS best FROM k) SELECT id, min(rank) AS rank, count(DISTINCT org) AS n, CASE WHEN count(DISTINCT org) = 1 THEN min(org) END AS org FROM m WHERE rank = best GROUP BY id")
 def _(spark, sf_dir):
     return O.precedence(org_pairs(spark, sf_dir), "id", "org", ["brand_size", "brand", "size"])
@@ -305,6 +312,14 @@ def _(spark, sf_dir):
     return O.rollup_arms(a, ["l_suppkey"], "name", "l_partkey", "l_shipdate")
 
 
+@query("O17_rollup_arms_whole", """
+WITH a AS (SELECT l_suppkey, l_returnflag AS arm, l_shipdate, l_partkey, 'P' || l_partkey AS name FROM lineitem)
+SELECT l_suppkey, first(name ORDER BY length(name) DESC, name) AS name, array_to_string(list_sort(list(DISTINCT CAST(l_partkey AS VARCHAR))), '|') AS ids, min(l_shipdate) AS least_evidence, max(l_shipdate) AS most_evidence, count(DISTINCT arm) AS n_arms FROM a GROUP BY 1""")
+def _(spark, sf_dir):
+    a = t(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("arm"), "l_shipdate", "l_partkey", F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name"))
+    return O.rollup_arms(a, ["l_suppkey"], "name", "l_partkey", "l_shipdate")
+
+
 @query("O19_suppression", "SELECT n_regionkey, CASE WHEN count(*) >= 5 THEN count(*) END AS n, count(*) < 5 AS suppressed FROM nation WHERE n_nationkey > 7 GROUP BY 1")
 def _(spark, sf_dir):
     per = t(spark, sf_dir, "nation").filter("n_nationkey > 7").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("c"))
