@@ -92,21 +92,34 @@ class Scanner:
     def confirm(self, block: str, k: int) -> list[tuple[int, int, str]]:
         """(start, end, "exact" or "variant") of the template's wording in the block."""
         _, w, pattern, _, _ = self.templates[k]
-        exact = [(m.start(), m.end(), "exact") for m in pattern.finditer(block)]
-        if exact:
-            return exact
+        out = [(m.start(), m.end(), "exact") for m in pattern.finditer(block)]
         at = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(block)]
+        # A variant has all telling words, so the first one anchors a window of words; without such, any long word does.
+        telling = [k for k, x in enumerate(w) if x not in PLAIN]
+        anchors = telling[:1] or [k for k, x in enumerate(w) if len(x) > 6]
+        reach = len(w) // 5 + 2
+        free = lambda s, e: all(e <= x[0] or s >= x[1] for x in out)
+        for i, (s, e, x) in enumerate(at):
+            for k in anchors:
+                if x == w[k] and free(s, e):
+                    found = self.variant(at[max(0, i - k - reach) : i - k + len(w) + reach], w)
+                    if found and free(*found[:2]):
+                        out.append(found)
+        return out
+
+    def variant(self, at: list[tuple[int, int, str]], w: list[str]) -> tuple[int, int, str] | None:
+        """A variant of the template's words in a window of (start, end, word)."""
         match = difflib.SequenceMatcher(None, [x[2] for x in at], w, autojunk=False)
         same = [b for b in match.get_matching_blocks() if b.size]
         if not same:
-            return []
+            return None
         first, last = same[0].a, same[-1].a + same[-1].size
         window = [x[2] for x in at[first:last]]
         ratio = difflib.SequenceMatcher(None, window, w, autojunk=False)
         changed = [x for op, a, b, c, d in ratio.get_opcodes() if op != "equal" for x in window[a:b] + w[c:d]]
         if ratio.ratio() < MIN_WORDING or any(x not in PLAIN for x in changed):
-            return []
-        return [(at[first][0], at[last - 1][1], "variant")]
+            return None
+        return at[first][0], at[last - 1][1], "variant"
 
     def block(self, block: str) -> list[tuple[str, int, int, str, float]]:
         """Confirmed (licence, start, end, wording, reduction); of overlapping ones the longest."""
@@ -131,13 +144,17 @@ class Scanner:
         for word in KEYWORDS:
             at = low.find(word)
             while at >= 0:
-                a = max(text.rfind("\n", 0, at) + 1, at - BEFORE)
-                b = text.find("\n", at)
-                spans.append((a, min(b if b >= 0 else len(text), at + AFTER)))
+                # Notices may be wrapped: only the size of the window bounds it, and it ends at whole words.
+                a, b = max(0, at - BEFORE), min(len(text), at + AFTER)
+                while a < at and a and text[a - 1].isalnum():
+                    a += 1
+                while at + len(word) < b < len(text) and text[b].isalnum():
+                    b -= 1
+                spans.append((a, b))
                 at = low.find(word, at + len(word))
         out: list[tuple[int, int]] = []
         for a, b in sorted(spans):
-            if out and a < out[-1][1]:
+            if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], max(b, out[-1][1]))
             else:
                 out.append((a, b))

@@ -364,6 +364,17 @@ def test_licences(spark, edge):
     assert {(r["doc_id"], r["licences"]) for r in queries.op10_licences(spark, edge).filter("n_licences > 0").collect()} == {(24, "CC-BY-NC-4.0,MIT")}
 
 
+def test_licences_wrapped_and_repeated():
+    """Notices over several lines, and two variants of one template in a block."""
+    scan = licences.Scanner().scan
+    names = lambda text: [(h[0], h[3]) for h in scan(text)[1]]
+    assert names("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files") == [("MIT", "exact")]
+    assert names("x\nLicensed under the Apache License,\nVersion 2.0.\ny") == [("Apache-2.0", "exact")]
+    two = "This code is licensed under the GNU General Public License, version 3. Some other words stand here. This code is licensed under the GNU General Public License, version 3."
+    assert names(two) == [("GPL-3.0", "variant")] * 2
+    assert names("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and the associated documentation files") == [("MIT", "variant")]
+
+
 def test_crowded_bitmap(spark, edge, monkeypatch):
     """Bitmaps full of false hits change no result."""
     docs = spark.read.parquet(f"{edge}/documents.parquet")
