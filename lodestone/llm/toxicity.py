@@ -27,8 +27,6 @@ from .common import durable, need, small_batches, table
 
 #: Labelled documents that the lexicon is learned from, at most, of each class.
 MAX_TOXIC, MAX_CLEAN = 3000, 9000
-#: Candidate features, and terms of the lexicon, at most (the best stay).
-MAX_FEATURES, MAX_TERMS = 30_000, 4000
 #: A term's least log-likelihood ratio and least log odds.
 MIN_G2, MIN_WEIGHT = 16.0, 2.5
 PREFIXES = range(3, 10)
@@ -54,10 +52,10 @@ def words_of(folded: str) -> set[str]:
 
 
 def features(words: set[str]) -> set[str]:
-    """``=word`` for whole words, ``word`` beginnings bare."""
+    """``=word`` for whole words, ``word`` beginnings bare; a word begins with itself."""
     out = {"=" + w for w in words}
     for w in words:
-        out.update(w[:n] for n in PREFIXES if n < len(w))
+        out.update(w[:n] for n in PREFIXES if n <= len(w))
     return out
 
 
@@ -99,7 +97,7 @@ class Lexicon:
                 if ends:
                     safe.append((start, end))
             else:
-                weight = max(whole if ends and whole else 0.0, begin if not ends and begin else 0.0)
+                weight = max(whole if ends and whole else 0.0, begin or 0.0)
                 if weight:
                     found.append((start, end, weight))
         best: dict[int, float] = {}  # one weight a word
@@ -153,7 +151,7 @@ def _counts(sample: DataFrame, keep=None) -> DataFrame:
 
 
 def weigh(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Terms of the lexicon with their log odds; a kept beginning covers the longer ones."""
+    """Terms of the lexicon with their log odds; a kept beginning covers itself as a word and all longer ones."""
     scored = []
     for f, t in toxic.items():
         c = clean.get(f, 0)
@@ -169,8 +167,6 @@ def weigh(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: i
         bare = f.lstrip("=")
         if not any(bare[:n] in out for n in PREFIXES if n < len(bare)) and bare not in out:
             out[f] = weight
-        if len(out) == MAX_TERMS:
-            break
     return out
 
 
@@ -207,9 +203,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     sample = durable(sample.join(F.broadcast(once), "doc_id", "left_semi"), "tox-once")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    top = _counts(sample.filter("toxic = 1")).filter("n >= 3").orderBy(F.desc("n"), "feature").limit(MAX_FEATURES).collect()
-    toxic = {r["feature"]: r["n"] for r in top}
-    keep = spark.sparkContext.broadcast(frozenset(toxic))  # at most MAX_FEATURES
+    toxic = {r["feature"]: r["n"] for r in _counts(sample.filter("toxic = 1")).filter("n >= 3").collect()}  # words of at most MAX_TOXIC texts
+    keep = spark.sparkContext.broadcast(frozenset(toxic))
     clean = {r["feature"]: r["n"] for r in _counts(sample.filter("toxic = 0"), keep).collect()} if toxic else {}
     lexicon = Lexicon(weigh(toxic, clean, n_toxic, n_clean), 1.0, exceptions)
     raw = score(sample, lexicon, raw=True).select("score", "toxic").collect()
