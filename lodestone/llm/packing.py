@@ -161,7 +161,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
             return None
         a = np.arange(gap - 1, (gap - 1) // 2, -1)
         a = a[(left[a] > 0) & (left[gap - a] > 0)]
-        return next(([int(x), gap - int(x)] for x in a[:16] if times([*used, int(x), gap - int(x)])), None)
+        return next(([int(x), gap - int(x)] for x in a if times([*used, int(x), gap - int(x)])), None)
 
     whole = (1 << (capacity + 1)) - 1
 
