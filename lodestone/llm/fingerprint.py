@@ -3,91 +3,107 @@
 A text is the row of its tokens: runs of non-space characters, long ones cut into
 pieces.  Its k-mers are ``K`` tokens in a row; the second, third ... time that a
 k-mer occurs it counts as another one (occurrence numbers), for which hashes are
-sorted once and numbered within runs of equal ones.  Each of ``FUNCTIONS`` hash
-functions selects the least numbered k-mer in each of two halves of its hash
-space, puts the two in text order, and hashes the pair; so a fingerprint changes
-with order as with content, as edit distance does.  Likeness is the share of
-equal places of two fingerprints.
+sorted once and numbered within runs of equal ones.  A numbered k-mer has one place
+on the circle of hashes.  Each of ``FUNCTIONS`` functions orders all numbered k-mers
+by their way round that circle from a start of its own, takes the ``2`` least of
+that order, puts them in text order, and hashes the pair; so a fingerprint changes
+with order as with content, as edit distance does.  Starts are evenly spaced: sorted
+together with the hashes they show where each order begins, and one sort serves all
+functions.  Likeness is the share of equal places of two fingerprints.
 
-The numbered k-mers are exploded and reduced by ``min`` in one hash aggregate,
-with map-side sums, so only the minima are shuffled.
+Everything about a text is computed within its row, so nothing but the texts
+themselves is shuffled, once, to bring each to its successor.
 
 Defined results: a null text is empty; a text of fewer than ``K`` tokens has its
-whole row of tokens as the one k-mer; an empty text has a fingerprint of its own
-and is like other empty ones only; repeated rows get equal results; rows with
-equal ``doc_id`` follow each other in order of their text's hash; null ids come
-last in descending order; the next of the last document is the first one, also
-for a table of a single row.
+whole row of tokens as the one k-mer, which then is both of a pair; an empty text has
+a fingerprint of its own and is like other empty ones only; repeated rows get equal
+results; rows with equal ``doc_id`` follow each other in order of their text's hash;
+null ids come last in descending order; the next of the last document is the first
+one, also for a table of a single row; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, need, table
+from .common import need, table
 
 K = 3
-FUNCTIONS = 16
+FUNCTIONS = 128
 TOKEN = r"\S{1,16}"
-#: Low bits of a packed k-mer that hold its position (above that many tokens positions wrap).
-POSITION_BITS = 24
-#: Rows of one range in the search for each row's successor, and ranges at most.
-RANGE_ROWS, MAX_RANGES = 5_000, 4096
+#: Low bits of a packed k-mer that hold its position: no array is longer.
+POSITION_BITS = 31
+LOW = (1 << POSITION_BITS) - 1
+#: Rows of one range in the search for each row's successor; ranges at most, and ids of the sample that cuts one.
+RANGE_ROWS, MAX_RANGES, SAMPLE = 500, 16_384, 16
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _at(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(LOW))
+
+
+def _what(x: Column) -> Column:
+    return F.shiftright(x, POSITION_BITS)
+
+
+def _packed(value: Column, at: Column) -> Column:
+    return value.bitwiseAND(F.lit(~LOW)).bitwiseOR(at.cast("long"))
 
 
 def numbered_kmers(text: Column, k: int = K) -> Column:
-    """Array of (hash with occurrence number, position)."""
+    """Sorted array of the numbered k-mers: a hash in the high bits, the position from 1 in the low ones."""
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    low = (1 << POSITION_BITS) - 1
 
-    def packed(t: Column) -> Column:
+    def kmers(t: Column) -> Column:
         n = F.greatest(F.size(t) - (k - 1), F.lit(1))
-        starts = F.sequence(F.lit(1), n)
-        kmer = lambda i: F.xxhash64(*(F.get(t, i - 1 + j) for j in range(k)))
-        return F.array_sort(F.transform(starts, lambda i: kmer(i).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(low)))))
+        return F.sort_array(F.transform(F.sequence(F.lit(1), n), lambda i: _packed(F.xxhash64(*(F.get(t, i - 1 + j) for j in range(k))), i)))
+
+    def number(x: Column, occurrence: Column) -> Column:
+        return _packed(F.xxhash64(_what(x), occurrence.cast("int")), _at(x))
 
     def numbered(p: Column) -> Column:
-        high = lambda i: F.shiftright(F.get(p, i), POSITION_BITS)
-        heads = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (high(i) != high(i - 1)))
+        heads = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (_what(F.get(p, i)) != _what(F.get(p, i - 1))))
 
-        def group(h: Column) -> Column:
-            runs = F.zip_with(h, F.concat(F.slice(h, 2, F.size(h)), F.array(F.size(p))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-            return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(r["a"], r["b"] - 1), lambda i: F.struct(F.xxhash64(high(i), i - r["a"]).alias("h"), F.get(p, i).bitwiseAND(F.lit(low)).alias("at")))))
+        def runs(h: Column) -> Column:
+            ends = F.zip_with(h, F.concat(F.slice(h, 2, F.size(h)), F.array(F.size(p))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+            return F.flatten(F.transform(ends, lambda r: F.transform(F.sequence(r["a"], r["b"] - 1), lambda i: number(F.get(p, i), i - r["a"]))))
 
-        return _let(heads, group)
+        # Most texts repeat no k-mer: each then is its own first occurrence.
+        return F.sort_array(_let(heads, lambda h: F.when(F.size(h) == F.size(p), F.transform(p, lambda x: number(x, F.lit(0)))).otherwise(runs(h))))
 
-    empty = F.array().cast("array<struct<h:long,at:long>>")
-    return F.when(F.length(F.trim(text)) == 0, empty).otherwise(_let(tokens, lambda t: F.when(F.size(t) == 0, empty).otherwise(_let(packed(t), numbered))))
+    none = F.array().cast("array<bigint>")
+    return _let(tokens, lambda t: F.when(F.size(t) == 0, none).otherwise(_let(kmers(t), numbered)))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def fingerprint(text: Column, functions: int = FUNCTIONS, k: int = K) -> Column:
+    """Array of ``functions`` (a power of 2) integers."""
+    step = (1 << 64) // functions
+    starts = F.array(*(F.lit(f * step - (1 << 63)) for f in range(functions)))
 
+    def places(v: Column) -> Column:
+        # A start has position 0, so it stands before all k-mers from there on; of the ``p`` entries before start f, f are starts.
+        merged = F.sort_array(F.concat(v, starts))
+        at = F.filter(F.transform(merged, lambda x, i: F.when(_at(x) == 0, i)), lambda i: i.isNotNull())
+        n = F.size(v)
 
-def fingerprints(rows: DataFrame, keys: list[str], functions: int = FUNCTIONS, k: int = K) -> DataFrame:
-    """(keys, fp) from rows of (keys, text): ``fp`` is an array of longs, one for each function.
+        def place(p: Column, f: Column) -> Column:
+            a, b = F.get(v, (p - f) % n), F.get(v, (p - f + 1) % n)
+            pair = F.when(_at(a) <= _at(b), F.xxhash64(f, _what(a), _what(b))).otherwise(F.xxhash64(f, _what(b), _what(a)))
+            return F.shiftright(pair, 32).cast("int")
 
-    Rows with equal keys must have equal texts.
-    """
-    kmers = rows.select(*keys, F.explode_outer(numbered_kmers(F.col("text"), k)).alias("m"))
-    sign = F.lit(-(1 << 63))
-    minima = []
-    for f in range(functions):
-        # The hash's last bit halves its space; the position comes along in the low bits.
-        h = F.xxhash64(F.col("m.h"), F.lit(f))
-        low = (1 << POSITION_BITS) - 1
-        value = h.bitwiseAND(F.lit(~low)).bitwiseOR(F.col("m.at").bitwiseAND(F.lit(low)))
-        minima += [F.min(F.when(h.bitwiseAND(F.lit(1)) == half, value)).alias(f"m{f}_{half}") for half in (0, 1)]
-    sums = kmers.groupBy(*keys).agg(*minima)
-    places = []
-    for f in range(functions):
-        a, b = (F.coalesce(F.col(f"m{f}_{half}"), sign) for half in (0, 1))
-        at = lambda x: x.bitwiseAND(F.lit(low))
-        what = lambda x: F.shiftright(x, POSITION_BITS)
-        places.append(F.when(at(a) <= at(b), F.xxhash64(F.lit(f), what(a), what(b))).otherwise(F.xxhash64(F.lit(f), what(b), what(a))))
-    return sums.select(*keys, F.array(*places).alias("fp"))
+        empty = F.transform(F.sequence(F.lit(0), F.lit(functions - 1)), lambda f: F.shiftright(F.xxhash64(f), 32).cast("int"))
+        return F.when(n == 0, empty).otherwise(F.transform(at, place))
+
+    return _let(numbered_kmers(text, k), places)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -96,38 +112,56 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def hexed(fp: Column) -> Column:
-    return F.array_join(F.transform(fp, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    return F.array_join(F.transform(fp, lambda x: F.lower(F.right(F.concat(F.lit("0" * 7), F.hex(x)), F.lit(8)))), "")
+
+
+def _words(values: Iterable[str], by: str = ",") -> Column:
+    """An array of strings as one literal."""
+    return F.split(F.lit(by.join(values)), by)
 
 
-def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(doc_id, text, next_text) in descending order of ``doc_id``, by ranges of ids.
+def with_next(docs: DataFrame, value: Callable[[DataFrame], DataFrame], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows in descending order of ``doc_id``, dealt to ranges, with a column of each one's successor.
 
-    Ranges are cut at approximate quantiles of the ids.  The first row of each
-    range is handed to the range before it as well, so that every row finds its
-    successor within its range.
+    ``docs`` has (doc_id, text).  ``value`` adds columns to (doc_id, text, next_text,
+    lent, at); what it names ``fp`` comes back as ``next_fp`` of the row before.
+    Ranges are cut at quantiles of a sample of the ids, those of one frequent id by the
+    hash of the text.  The first row of each range is lent to the range before it as
+    well, so every row finds its successor within its range.
     """
-    rows = need(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    ids = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
-    n = ids.count()
+    n = docs.count()
     ranges = max(1, min(MAX_RANGES, n // range_rows))
-    cuts = sorted(set(ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or [])) if ranges > 1 else []  # at most MAX_RANGES
-    place = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
-    ids = ids.withColumn("r", place)
-    tops = {r["r"]: r["top"] for r in ids.groupBy("r").agg(F.max("id").alias("top")).collect()}  # one row a range
-    order = sorted(tops, reverse=True)
-    # The range above needs the top row of this one; the lowest range needs the very first row.
-    above = {r: order[(k - 1) % len(order)] for k, r in enumerate(order)}
-    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("r", place).withColumn("h", F.md5("text"))
-    if not tops:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
-    lent_to = F.element_at(F.create_map(*(F.lit(x) for r in order for x in (r, above[r]))), F.col("r"))
-    is_top = F.col("id") == F.element_at(F.create_map(*(F.lit(x) for r in order for x in (r, tops[r]))), F.col("r"))
-    own = F.struct(F.col("r").alias("r"), F.lit(0).alias("lent"))
-    lent = F.struct(lent_to.alias("r"), F.lit(1).alias("lent"))
-    rows = rows.withColumn("g", F.explode(F.when(is_top, F.array(own, lent)).otherwise(F.array(own))))
-    within = Window.partitionBy("g.r").orderBy(F.col("g.lent"), F.col("id").desc(), F.col("h"))
-    rows = rows.withColumn("next_text", F.lead("text").over(within))
-    return rows.filter("g.lent = 0").select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
+    # Hex digits in whose order ids descend; null ids come after all others.
+    order = lambda i: F.coalesce(F.lpad(F.hex(F.bitwise_not(i).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit("G" * 16))
+    cuts: list[str] = []
+    if ranges > 1:
+        sample = sorted(r[0] for r in docs.select(order(F.col("doc_id"))).sample(min(1.0, SAMPLE * ranges / n), seed=1).collect())  # about SAMPLE * MAX_RANGES strings at most
+        picked = [sample[k * len(sample) // ranges] for k in range(1, ranges)] if sample else []
+        for key, same in groupby(picked):
+            times = len(list(same))
+            cuts += [f"{key}{(j << 32) // times:08x}" for j in range(times)]
+    width = max(1, round(len(cuts) ** 0.5))
+    blocks = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    upto = lambda some, key: F.size(F.filter(some, lambda c: c <= key))
+    rows = docs.select("doc_id", "text", F.concat(order(F.col("doc_id")), F.md5("text")).alias("at"))
+    if cuts:
+        heads, block = _words(b[0] for b in blocks), lambda b: F.split(F.get(_words((",".join(b) for b in blocks), ";"), b - 1), ",")
+        rows = rows.withColumn("block", upto(heads, F.col("at")))
+        rows = rows.withColumn("range", F.when(F.col("block") == 0, 0).otherwise((F.col("block") - 1) * width + upto(block(F.col("block")), F.col("at")))).drop("block")
+    else:
+        rows = rows.withColumn("range", F.lit(0))
+    firsts = {r["range"]: r["first"] for r in rows.groupBy("range").agg(F.min("at").alias("first")).collect()}  # one row a range
+    there = sorted(firsts)
+    before = {r: there[k - 1] for k, r in enumerate(there)}
+    size = max(there, default=0) + 1
+    is_first = F.col("at") == F.get(_words(firsts.get(r, "") for r in range(size)), F.col("range"))
+    lend_to = F.get(_words(str(before.get(r, 0)) for r in range(size)), F.col("range")).cast("int")
+    own = F.struct(F.col("range").alias("range"), F.lit(0).alias("lent"))
+    lent = F.struct(lend_to.alias("range"), F.lit(1).alias("lent"))
+    rows = rows.withColumn("g", F.explode(F.when(is_first, F.array(own, lent)).otherwise(F.array(own)))).select("doc_id", "text", "at", "g.range", "g.lent")
+    following = Window.partitionBy("range").orderBy("lent", "at")
+    rows = value(rows.withColumn("next_text", F.coalesce(F.lead("text").over(following), "text")))
+    return rows.withColumn("next_fp", F.coalesce(F.lead("fp").over(following), "fp")).filter("lent = 0")
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -137,22 +171,17 @@ def edited(text: Column, other: Column) -> Column:
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(table(spark, sf_dir, "documents"))
-    rows = rows.select("doc_id", "text", edited(F.col("text"), F.col("next_text")).alias("edited"), F.sha2("next_text", 256).alias("next_sha"))
-    keys = ["doc_id", "n_chars", "next_sha", "sha", "edited_sha"]
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "next_sha", F.sha2("text", 256).alias("sha"), F.sha2("edited", 256).alias("edited_sha"), "text", "edited")
-    # Equal rows stay apart by a number; the order within the sorted ranges fixes it, so a rerun task gives the same ones.
-    sides = rows.withColumn("row", F.monotonically_increasing_id()).select(*keys, "row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("x"))
-    sides = sides.select(*keys, "row", "x.side", "x.text")
-    fps = fingerprints(sides, [*keys, "row", "side"])
-    both = fps.groupBy(*keys, "row").agg(F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fp"))
-    both = durable(both, "omh-fps")
-    nexts = both.groupBy("sha").agg(F.first("fp").alias("next_fp")).withColumnRenamed("sha", "n_sha")
-    out = both.join(nexts, both["next_sha"] == nexts["n_sha"], "left")
-    return out.select(
+    docs = need(table(spark, sf_dir, "documents"), doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+
+    def value(rows: DataFrame) -> DataFrame:
+        own = F.col("lent") == 0
+        rows = rows.withColumn("edited", F.when(own, edited(F.col("text"), F.col("next_text"))))
+        return rows.select("doc_id", "range", "lent", "at", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"), F.when(own, fingerprint(F.col("edited"))).alias("edited_fp"))
+
+    return with_next(docs, value).select(
         "doc_id",
         "n_chars",
-        F.col("edited_sha").alias("edited_sha256"),
+        "edited_sha256",
         hexed(F.col("fp")).alias("fingerprint"),
         hexed(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
