@@ -5,18 +5,23 @@ addresses, payment cards and phone numbers with linear-time forms of their
 patterns; the places of matches follow from the lengths of the matches and of the
 gaps between them.
 
-The method then protects the found values (entities).  A term's disclosure of an
-entity is their pointwise mutual information over the corpus,
-``log2(N * n_et / (n_e * n_t))``, with n_e, n_t and n_et the documents that hold
-the entity, the term and both anywhere, and N all documents.  Every entity is
-scored: a term needs ``MIN_SUPPORT`` distinct supporting texts, or all texts of
-an entity that stands in fewer.  A term that has information about an entity,
-and gives away ``SHARE`` of its information content ``log2(N / n_e)``, is marked
-wherever it stands in any document, unless within a found value.
+The method then protects the found values (entities).  A term discloses an entity
+by the information that it gives about it: the surprisal of the entity falls from
+``log2(N / n_e)`` to ``log2(n_t / n_et)`` once the term is known, with n_e, n_t and
+n_et the documents that hold the entity, the term and both anywhere, and N all
+documents.  Every entity is scored, whatever the distance between the two: a term
+needs ``MIN_SUPPORT`` distinct supporting texts, or all texts of an entity that
+stands in fewer.  A term that lowers the surprisal of an entity, to ``LEFT_BITS`` or
+less, is generalised to its kind wherever it stands in any document, unless within a
+found value.  The threshold is on what is left to guess, not on a share of
+``log2(N / n_e)``, so it means the same at every size of the corpus, and a marked
+term stands in at most ``2 ** LEFT_BITS`` times as many documents as hold its entity
+too: marks grow in proportion to the corpus.
 
 Defined results: a null text is an empty one; spans of different kinds may
 overlap; repeated rows get equal results; copies count as documents but not as
-support; an empty table gives an empty result.
+support; an empty table gives an empty result; extra columns, also such as clash
+with names used here, stay as they are.
 """
 
 from __future__ import annotations
@@ -29,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import bitmap_of, durable, need, table, with_hit
 
 MIN_SUPPORT = 3
-SHARE = 0.75
+#: What a disclosing term leaves to guess of an entity: 1 bit is an even chance.
+LEFT_BITS = 1.0
 #: Letters and digits make a term; shorter ones are left alone.
 TERM = r"[\p{L}\p{N}]+"
 MIN_TERM = 3
@@ -40,6 +46,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPAN = "struct<kind:string,start:long,end:long,value:string>"
+#: Elements that one step of a running aggregate appends to; keeps appending linear.
+BLOCK, SUMS = 256, 32
 
 
 def _digits(m: Column) -> Column:
@@ -68,19 +76,55 @@ KINDS: tuple[tuple[str, str, Callable[[Column], Column], Callable[[Column], Colu
 )
 
 
-def find(text: Column, kind: str, pattern: str, ok: Callable[[Column], Column], may: Callable[[Column], Column]) -> Column:
-    """Array of spans of one kind, by start."""
-    none = F.array().cast(f"array<{SPAN}>")
-    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(F.length(g).cast("long").alias("g"), m.alias("m")))
+def running(pieces: Column, at: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """Array of what ``step`` appends to ``state["out"]``, ``state["at"]`` running along, in linear time.
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["g"]
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0)).cast("long")
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNotNull() & ok(x["m"]), F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+    Appending copies the array, so elements are gathered in blocks.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def block(state: Column, b: Column) -> Column:
+        here = F.transform(F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, F.size(pieces)) - 1), lambda i: F.get(pieces, i))
+        inner = F.aggregate(here, F.struct(state["at"].alias("at"), none.alias("out")), step)
+        return _let(inner, lambda x: F.struct(x["at"].alias("at"), F.when(F.size(x["out"]) > 0, F.array_append(state["out"], x["out"])).otherwise(state["out"]).alias("out")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int"))
+    start = F.struct(at.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.when(F.size(pieces) > 0, F.aggregate(blocks, start, block, lambda s: F.flatten(s["out"]))).otherwise(none)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-    return F.when(may(text), F.aggregate(pieces, start, step, lambda s: s["out"])).otherwise(none)
+
+def sums(lengths: Column) -> Column:
+    """Running sums of an array of integers, gathered in blocks."""
+    none = F.array().cast("array<int>")
+
+    def block(state: Column, b: Column) -> Column:
+        step = lambda t, i: F.struct((t["at"] + F.get(lengths, i)).alias("at"), F.array_append(t["out"], t["at"] + F.get(lengths, i)).alias("out"))
+        inner = F.aggregate(F.sequence(b * SUMS, F.least((b + 1) * SUMS, F.size(lengths)) - 1), F.struct(state["at"].alias("at"), none.alias("out")), step)
+        return _let(inner, lambda x: F.struct(x["at"].alias("at"), F.array_append(state["out"], x["out"]).alias("out")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / SUMS).cast("int"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    return F.when(F.size(lengths) > 0, F.aggregate(blocks, start, block, lambda s: F.flatten(s["out"]))).otherwise(none)
+
+
+def matches(text: Column, kind: str, pattern: str, ok: Callable[[Column], Column]) -> Column:
+    """Array of the spans of a pattern whose value is ``ok``, by start."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # A match ends where the gaps and matches up to it end; the text after the last one is left out.
+    lengths = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
+    span = lambda m, end: F.struct(F.lit(kind).alias("kind"), (end - F.length(m)).cast("long").alias("start"), end.cast("long").alias("end"), m.alias("value"))
+    spans = F.zip_with(found, _let(lengths, sums), lambda m, end: F.when(m.isNotNull() & ok(m), span(m, end)))
+    return F.filter(spans, lambda s: s.isNotNull())
+
+
+def find(text: Column, kind: str, pattern: str, ok: Callable[[Column], Column], may: Callable[[Column], Column]) -> Column:
+    """Array of spans of one kind, by start."""
+    return F.when(may(text), matches(text, kind, pattern, ok)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -95,7 +139,7 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def revealing_terms(docs: DataFrame, held: DataFrame, n_docs: int, min_support: int = MIN_SUPPORT, share: float = SHARE) -> DataFrame:
+def revealing_terms(docs: DataFrame, held: DataFrame, n_docs: int, min_support: int = MIN_SUPPORT, left_bits: float = LEFT_BITS) -> DataFrame:
     """(term) of the terms that reveal an entity.
 
     ``docs`` has ``text``; ``held`` has (key, text, spans) of the documents with base spans.
@@ -117,43 +161,40 @@ def revealing_terms(docs: DataFrame, held: DataFrame, n_docs: int, min_support:
     )
     counts = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).filter(F.length("term") >= MIN_TERM).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n, n_e = F.lit(float(n_docs)), F.col("same.n_e")
-    bits = F.log2(n * F.col("n_et") / (n_e * F.col("n_t")))
-    return pairs.join(counts, "term").filter((bits > 0) & (bits >= share * F.log2(n / n_e))).select("term").distinct()
+    before, left = F.log2(n / n_e), F.log2(F.col("n_t") / F.col("n_et"))
+    return pairs.join(counts, "term").filter((left < before) & (left <= left_bits)).select("term").distinct()
 
 
-def places(text: Column, spans: Column, terms: Column) -> Column:
-    """Array of the spans of ``terms`` in a text, without those that lie within its base spans."""
+def outside(terms: Column, spans: Column) -> Column:
+    """The terms, by start, without those that lie within one of the spans; linear in both after a sort."""
     none = F.array().cast(f"array<{SPAN}>")
-    pieces = F.zip_with(F.split(text, TERM, -1), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda g, w: F.struct(F.length(g).cast("long").alias("g"), w.alias("w")))
+    order = lambda xs, last: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), F.lit(last).alias("last"), s["end"].alias("end"), s.alias("s")))
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["g"]
-        end = start + F.coalesce(F.length(x["w"]), F.lit(0)).cast("long")
-        span = F.struct(F.lit("term").alias("kind"), start.alias("start"), end.alias("end"), x["w"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.array_contains(terms, F.lower(x["w"])), F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+        free = (x["last"] == 1) & (x["end"] > state["at"])
+        return F.struct(F.when(x["last"] == 0, F.greatest(state["at"], x["end"])).otherwise(state["at"]).alias("at"), F.when(free, F.array_append(state["out"], x["s"])).otherwise(state["out"]).alias("out"))
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda s: s["out"])
-    # Bound as a variable: an expression within the filter would be computed for each term again.
-    free = lambda b: F.filter(found, lambda t: ~F.exists(b, lambda s: (s["start"] <= t["start"]) & (t["end"] <= s["end"])))
-    return F.get(F.transform(F.array(spans), free), F.lit(0))
+    both = F.array_sort(F.concat(order(spans, 0), order(terms, 1)))
+    return F.when(terms.isNull(), none).otherwise(_let(both, lambda b: running(b, F.lit(-1).cast("long"), SPAN, step)))
 
 
 def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(key, terms) with the spans of revealing terms in each distinct text of ``rows`` that has some.
+    """(key, terms) with the spans of disclosing terms in each distinct text of ``rows`` that has some.
 
     ``rows`` has (key, text).  Bitmaps keep words that are no such terms, and texts
     without one, out of the shuffles.
     """
+    bits = bitmap_of(terms, "term", "pii-term-bits")
     words = rows.select("key", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).filter(F.length("term") >= MIN_TERM)
-    words = with_hit(words, words["term"], bitmap_of(terms, "term", "pii-term-bits"), "hit").filter("hit")
-    hits = durable(words.join(terms, "term", "left_semi").groupBy("key").agg(F.collect_set("term").alias("found")), "pii-hits")
+    hits = with_hit(words, words["term"], bits, "hit").filter("hit").join(terms, "term", "left_semi").select("key").distinct()
     texts = with_hit(rows, rows["key"], bitmap_of(hits, "key", "pii-key-bits"), "hit").filter("hit").groupBy("key").agg(F.min_by("text", "key").alias("text"))
-    marked = texts.join(hits, "key").select("key", places(F.col("text"), base_spans(F.col("text")), F.col("found")).alias("terms"))
-    return durable(marked, "pii-marked").filter(F.size("terms") > 0)
+    placed = texts.select("key", F.explode(matches(F.col("text"), "term", TERM, lambda w: F.length(w) >= MIN_TERM)).alias("span")).select("key", "span", F.lower("span.value").alias("term"))
+    placed = with_hit(placed, placed["term"], bits, "hit").filter("hit").join(terms, "term", "left_semi")
+    return durable(placed.groupBy("key").agg(F.collect_list("span").alias("terms")), "pii-marked")
 
 
 def analyse(docs: DataFrame, **thresholds) -> DataFrame:
-    """(doc_id, key, spans, terms): base spans of every row, and spans of revealing terms.
+    """(doc_id, key, spans, terms): base spans of every row, and spans of disclosing terms.
 
     ``key`` is the MD5 of the text.
     """
@@ -164,7 +205,7 @@ def analyse(docs: DataFrame, **thresholds) -> DataFrame:
     n_docs = found.count()
     terms = durable(revealing_terms(whole, held, n_docs, **thresholds), "pii-revealing")
     marked = term_spans(whole.select("key", "text"), terms)
-    return found.select("doc_id", "key", "spans").join(marked, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")))
+    return found.select("doc_id", "key", "spans").join(marked, "key", "left").withColumn("terms", outside(F.col("terms"), F.col("spans")))
 
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
@@ -172,16 +213,17 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
 
     All columns stay; ``n_chars``, if there is one, follows the new text.  Only
     texts that a bitmap marks as having spans are joined with them; the others pass
-    unshuffled.
+    unshuffled.  Each input row travels as one struct, so its names clash with none.
     """
     found = analyse(docs, **thresholds)
-    spans = found.filter("size(spans) + size(terms) > 0").groupBy("key").agg(F.first(F.array_sort(F.transform(F.concat("spans", "terms"), lambda s: F.struct(s["start"], s["end"], s["kind"])))).alias("spans"))
-    spans = durable(spans, "pii-replace").withColumnsRenamed({"key": "_k", "spans": "_spans"})
-    keyed = docs.withColumn("_key", F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    keyed = with_hit(keyed, keyed["_key"], bitmap_of(spans, "_k", "pii-replace-bits"), "_hit")
-    rows = keyed.filter("_hit")
-    rows = rows.join(spans, rows["_key"] == spans["_k"], "left")
-    text = rows["text"]
+    spans = found.filter("size(spans) + size(terms) > 0").groupBy("key").agg(F.first(F.array_sort(F.transform(F.concat("spans", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))).alias("spans"))
+    spans = durable(spans, "pii-replace").withColumnsRenamed({"key": "k"})
+    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    keyed = row.select("row", "text", F.md5("text").alias("key"))
+    keyed = with_hit(keyed, keyed["key"], bitmap_of(spans, "k", "pii-replace-bits"), "hit")
+    rows = keyed.filter("hit")
+    rows = rows.join(spans, rows["key"] == spans["k"], "left")
+    text = F.col("text")
 
     def step(state: Column, s: Column) -> Column:
         gap = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
@@ -189,12 +231,15 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
         fresh = s["start"] >= state["at"]
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.array_append(state["out"], mask)).otherwise(state["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
-    new = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", start, step, rest))
-    out = rows.withColumn("_new", new)
-    pick = {"text": F.col("_new"), "n_chars": F.when(F.col("_spans").isNull(), out["n_chars"]).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return keyed.filter("NOT _hit").select(*docs.columns).union(out.select(*[pick[c].alias(c) if c in pick else out[c] for c in docs.columns]))
+    masked = F.array_join(running(F.col("spans"), F.lit(0).cast("long"), "string", step), "")
+    rest = F.substring(text, (F.array_max(F.transform("spans", lambda s: s["end"])) + 1).cast("int"), F.length(text))
+    marked = F.col("spans").isNotNull()
+    out = rows.select("row", marked.alias("marked"), F.when(marked, F.concat(masked, rest)).alias("new"))
+    kind = {f.name: f.dataType for f in docs.schema}
+    fresh = {"text": F.col("new"), "n_chars": F.length("new")}
+    pick = lambda c: F.when(F.col("marked"), fresh[c.lower()].cast(kind[c])).otherwise(F.col("row")[c]) if c.lower() in fresh else F.col("row")[c]
+    plain = keyed.filter("NOT hit").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return plain.union(out.select(*(pick(c).alias(c) for c in docs.columns)))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
