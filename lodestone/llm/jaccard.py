@@ -3,18 +3,27 @@
 A document is the set of its runs of five words.  In each run of the join a set
 chooses those of its shingles whose seeded hash is below ``1 / (threshold * n)``;
 two sets above the threshold share a chosen one with probability of at least
-``1 - 1/e``.  Chosen shingles are buckets; a bucket that is too large is split
-again by shingles chosen under its own seed.  Small buckets are compared by brute
-force, first by short sketches, then exactly by whole sets; the runs are repeated
-until the target recall.  A pair counts in the least bucket that it shares, so
-nothing has to list pairs to tell them apart: a task returns sums of links for
-each document and a spanning forest of its links, both no longer than its input.
-
-Equal sets are one representative with a weight, so copies are never expanded.
+``1 - 1/e``.  Chosen shingles are buckets.  A bucket of more than ``SPLIT`` sets is
+split by shingles that its sets choose under its own seed, ``REPEAT`` times as
+likely, so that a pair at the threshold stays together with a probability of
+``1 - exp(-REPEAT)``; its parts are split in turn, to any depth, until they are small
+or splitting stops to help (the largest part is over half of the whole: near copies
+of each other).  What is left is compared by brute force, first by short sketches,
+then exactly by whole sets of 64-bit hashes; the runs are repeated until the target
+recall.  A sketch has 128 places of one byte; a pair at the threshold whose estimate
+is ``SKETCH_MARGIN`` lower is lost, with a chance below 1e-8.
+
+A pair counts in the least bucket that it shares, so nothing has to list pairs to
+tell them apart: a task returns sums of links for each document and a spanning forest
+of its links, both no longer than its input.  Buckets are compared in pairs of
+chunks, bounded in sets and in shingles, so long texts and groups of near copies
+spread over tasks of bounded memory.  Equal sets are one representative with a
+weight, so copies are never expanded.
 
 Defined results: a text of fewer than five words is one shingle; texts without
 words are copies of each other; a null ``doc_id`` row gets a null class and no
-links; repeated rows are copies of each other; empty in, empty out.
+links; repeated rows are copies of each other; extra columns are not read (or stay as
+they are, where documents are returned); empty in, empty out.
 """
 
 from __future__ import annotations
@@ -32,9 +41,13 @@ from .common import bitmap_of, durable, need, small_batches, table, with_hit
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-#: A bucket above this is split again, up to the second level; one above CHUNK rows is compared in pairs of chunks.
+#: A bucket above this many sets is split, by choices so many times as likely as the first one, while no part is over SHRINK of it.
 SPLIT = 4096
+REPEAT = 3.0
+SHRINK = 0.5
+#: A bucket is compared in pairs of chunks of about so many sets, and of so many shingles.
 CHUNK = 1024
+CHUNK_SHINGLES = 2_000_000
 BINS = 128
 #: A sketch estimate this much below the threshold still goes to the exact comparison.
 SKETCH_MARGIN = 0.25
@@ -69,23 +82,29 @@ def runs_for(recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / -1.0))
 
 
-def paths(s: np.ndarray, runs: int, threshold: float) -> list[tuple[int, int]]:
-    """(first, second) level bucket keys of a set; second is 0 where the path ends."""
+def _chosen(s: np.ndarray, seed: np.uint64, times: float) -> np.ndarray:
+    """The shingles of a set that it chooses under an odd seed, ``times`` of them on average."""
+    # One hash rule for all sizes keeps the choice of a shingle the same in every set.
+    limit = np.uint64(min(2**64 - 1, int(2**64 * times / len(s))))
+    return s[(s ^ (s >> np.uint64(29))) * seed <= limit]
+
+
+def paths(s: np.ndarray, runs: int, threshold: float) -> list[int]:
+    """The buckets that a set chooses in all runs."""
     if not len(s):
         return []
-    limit = np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(s)))))
-    # One hash rule for all sizes keeps the choice of a shingle the same in every set.
-    base = s ^ (s >> np.uint64(29))
     out = []
     for r in range(runs):
         seed = mix(np.array([r + 1], dtype=np.uint64) * _M[0])[0] | np.uint64(1)
-        for j in s[base * seed <= limit]:
-            first = mix(np.array([j ^ seed], dtype=np.uint64))[0]
-            inner = first | np.uint64(1)
-            seconds = mix(s[base * inner <= limit] * _M[1] + first)
-            key = int(first.astype(np.int64))
-            out += [(key, x) for x in seconds.astype(np.int64).tolist()] or [(key, 0)]
-    return out
+        out += mix(_chosen(s, seed, 1 / threshold) ^ seed).astype(np.int64).tolist()
+    return list(dict.fromkeys(out))
+
+
+def parts_of(s: np.ndarray, bucket: int, threshold: float, repeat: float) -> list[int]:
+    """The parts of a bucket that a set chooses."""
+    own = np.array([bucket], dtype=np.int64).view(np.uint64)[0]
+    seed = mix(np.array([own], dtype=np.uint64))[0] | np.uint64(1)
+    return mix(_chosen(s, seed, repeat / threshold) * _M[1] + own).astype(np.int64).tolist()
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -108,7 +127,6 @@ def _signature(s: np.ndarray) -> bytes:
 def signatures(docs: DataFrame, words: int, threshold: float, runs: int) -> DataFrame:
     """(doc_id, sig, n, paths, sketch) of each document."""
     small_batches(docs.sparkSession)
-    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,13 +136,13 @@ def signatures(docs: DataFrame, words: int, threshold: float, runs: int) -> Data
                     batch.column("doc_id"),
                     pa.array([_signature(s) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([[{"a": a, "b": b} for a, b in paths(s, runs, threshold)] for s in sets], kind),
+                    pa.array([paths(s, runs, threshold) for s in sets], pa.list_(pa.int64())),
                     pa.array([sketch(s) for s in sets], pa.binary()),
                 ],
                 ["doc_id", "sig", "n", "paths", "sketch"],
             )
 
-    return docs.mapInArrow(sign, "doc_id long, sig binary, n long, paths array<struct<a:long,b:long>>, sketch binary")
+    return docs.mapInArrow(sign, "doc_id long, sig binary, n long, paths array<long>, sketch binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -190,7 +208,7 @@ def _links(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, rows in _groups(batches, ["key", "i", "j", "part", "rid", "m", "keys", "shingles"]):
             part, rid, m, keys, sets = zip(*rows, strict=True)
-            sets = [np.frombuffer(s, dtype=np.uint32) for s in sets]
+            sets = [np.frombuffer(s, dtype=np.uint64) for s in sets]
             n, m, part = np.array([len(s) for s in sets]), np.array(m), np.array(part)
             codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
             ends = np.cumsum(n)
@@ -251,7 +269,59 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, split: int = SPLIT, chunk: int = CHUNK) -> DataFrame:
+def whole_sets(known: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(rid, shingles) of the sets in ``wanted`` (rid, rep), read again from their texts."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "shingles"])
+
+    spark = known.sparkSession
+    small_batches(spark)
+    texts = known.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = texts.mapInArrow(whole, "sig binary, shingles binary").select(F.xxhash64("sig").alias("rid"), "shingles").groupBy("rid").agg(F.first("shingles").alias("shingles"))
+    # Few texts are wanted: a runtime Bloom filter (of bounded size) keeps the others out of the shuffle.
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "0")
+    try:
+        return durable(wanted.join(sets, "rid"), "jac-sets")
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def split_buckets(members: DataFrame, known: DataFrame, reps: DataFrame, words: int, threshold: float, split: int, repeat: float, shrink: float) -> DataFrame:
+    """(key, rid, n, size, total) with each bucket of more than ``split`` sets replaced by its parts, again and again."""
+    leaves, sets = members.filter(F.col("size") <= split), None
+    while members.filter(F.col("size") > split).limit(1).count():
+        large = members.filter(F.col("size") > split)
+        if sets is None:
+            sets = whole_sets(known, large.select("rid").distinct().join(reps.select("rid", "rep"), "rid"), words)
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for rid, n, raw, buckets in zip(*(batch.column(c).to_pylist() for c in ("rid", "n", "shingles", "buckets")), strict=True):
+                    s = np.frombuffer(raw, dtype=np.uint64)
+                    out += [(b, k, rid, n) for b in buckets for k in (parts_of(s, b, threshold, repeat) if len(s) else ())]
+                columns = zip(*out, strict=True) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["bucket", "key", "rid", "n"])
+
+        asked = large.groupBy("rid").agg(F.first("n").alias("n"), F.collect_list("key").alias("buckets"))  # a few buckets a run
+        parts = durable(asked.join(sets.select("rid", "shingles"), "rid").select("rid", "n", "shingles", "buckets").mapInArrow(chosen, "bucket long, key long, rid long, n long"), "jac-parts")
+        sizes = parts.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+        whole = large.select("key", "size").distinct().withColumnsRenamed({"key": "bucket", "size": "of"})
+        tight = sizes.groupBy("bucket").agg(F.max("size").alias("most")).join(whole, "bucket", "right")
+        tight = durable(tight.select("bucket", (F.coalesce("most", F.lit(0)) > shrink * F.col("of")).alias("tight")), "jac-tight")
+        leaves = leaves.unionByName(large.join(tight.filter("tight").select(F.col("bucket").alias("key")), "key", "left_semi"))
+        opened = sizes.filter("size > 1").join(tight.filter("NOT tight").select("bucket"), "bucket")
+        members = durable(parts.join(opened, ["bucket", "key"]).select("key", "rid", "n", "size", "total"), "jac-members")
+        leaves = leaves.unionByName(members.filter(F.col("size") <= split))
+    return leaves
+
+
+def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, split: int = SPLIT, chunk: int = CHUNK, repeat: float = REPEAT, shrink: float = SHRINK) -> DataFrame:
     """(doc_id, class_id, n_links): the least ``doc_id`` reachable by links, and the other rows within the threshold."""
     spark = docs.sparkSession
     rows = need(docs, doc_id="long", text="string")
@@ -259,18 +329,15 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     signed = durable(signatures(known, words, threshold, runs_for(recall)), "jac-signed").withColumn("rid", F.xxhash64("sig"))
     reps = signed.groupBy("rid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     reps = durable(reps, "jac-reps")
-    # Buckets of the first level, and of the second below those that are too large.
-    firsts = reps.select("rid", F.explode(F.array_distinct(F.col("paths.a"))).alias("key"))
-    sizes = durable(firsts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "jac-sizes")
+    firsts = reps.select("rid", "n", F.explode("paths").alias("key"))
+    sizes = durable(firsts.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).filter("size > 1"), "jac-sizes")
     # Most keys belong to one set only and leave before the shuffle.
-    shared = with_hit(firsts, F.col("key"), bitmap_of(sizes, "key", "jac-shared"), "hit").filter("hit")
-    small = shared.join(sizes.filter(F.col("size") <= split), "key").select("key", "rid", "size")
-    large = durable(sizes.filter(F.col("size") > split).select(F.col("key").alias("a")), "jac-large")
-    seconds = reps.select("rid", F.explode("paths").alias("p")).select("rid", "p.a", F.col("p.b").alias("key")).filter("key != 0").join(large, "a", "left_semi").select("key", "rid").distinct()
-    second_sizes = seconds.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = durable(small.unionByName(seconds.join(second_sizes, "key").select("key", "rid", "size")), "jac-members")
-    keyed = durable(members.groupBy("rid").agg(F.collect_list("key").alias("keys")), "jac-keys")  # a few keys a run
-    chunks = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
+    shared = with_hit(firsts, F.col("key"), bitmap_of(sizes, "key", "jac-shared"), "hit").filter("hit").drop("hit")
+    members = durable(shared.join(sizes, "key").select("key", "rid", "n", "size", "total"), "jac-members")
+    members = split_buckets(members, known, reps, words, threshold, split, repeat, shrink)
+    keyed = members.groupBy("rid").agg(F.collect_list("key").alias("keys"))  # a few keys a run
+    facts = durable(reps.join(keyed, "rid").select("rid", "n", "m", "rep", "keys", "sketch"), "jac-facts")
+    chunks = F.ceil(F.greatest(F.col("size") / F.lit(chunk), F.col("total") / F.lit(CHUNK_SHINGLES))).cast("int")
     part = F.pmod(F.xxhash64("rid", "key"), chunks.cast("long")).cast("int")
     spread = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     spread = spread.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rid")
@@ -280,27 +347,10 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRE
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         return df.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    facts = reps.join(keyed, "rid").select("rid", "n", "m", "rep", "keys", "sketch")
-    facts = durable(facts, "jac-facts")
     sketched = spread.join(facts.select("rid", "n", "keys", "sketch"), "rid").select("key", "i", "j", "part", "rid", "n", "keys", "sketch")
     kept = durable(by_bucket(sketched).mapInArrow(_survivors(threshold), "key long, i int, j int, part int, rid long"), "jac-kept")
-    wanted = durable(kept.select("rid").distinct().join(facts.select("rid", "rep", "m", "keys"), "rid"), "jac-wanted")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.binary()), pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], ["sig", "shingles"])
-
-    texts = known.join(wanted.filter(F.col("m") > 0).select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = texts.mapInArrow(whole, "sig binary, shingles binary").select(F.xxhash64("sig").alias("rid"), "shingles").groupBy("rid").agg(F.first("shingles").alias("shingles"))
-    # Few texts are wanted: a runtime Bloom filter (of bounded size) keeps the others out of the shuffle.
-    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "0")
-    try:
-        sets = durable(wanted.select("rid", "m", "keys").join(sets, "rid"), "jac-sets")
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    wanted = kept.select("rid").distinct().join(facts.select("rid", "rep", "m", "keys"), "rid")
+    sets = whole_sets(known, wanted, words)
     full = kept.join(sets, "rid").select("key", "i", "j", "part", "rid", "m", "keys", "shingles")
     found = durable(by_bucket(full).mapInArrow(_links(threshold), "a long, b long, links long"), "jac-links")
     links = found.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
@@ -309,27 +359,30 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     classes = named.groupBy("label").agg(F.min("rep").alias("class_id"))
     named = named.join(classes, "label").select("rid", "class_id")
     info = reps.select("rid", "rep", "m").join(named, "rid", "left").join(links.withColumnRenamed("a", "rid"), "rid", "left")
-    info = durable(info.select("rid", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")), "jac-info")
+    info = info.select("rid", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
     out = signed.select("doc_id", "rid").join(info, "rid").select("doc_id", "class_id", "n_links")
     return out.unionByName(rows.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all columns kept, with one row of each class: that with the class's id."""
-    own = docs["doc_id"].cast("long")
-    ids = jaccard_classes(docs, **options).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
+    """The documents, all columns kept, with one row of each class: that with the class's id.
+
+    Each input row travels as one struct, so its names clash with none.
+    """
+    ids = jaccard_classes(docs, **options).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id"))
     ids = durable(ids.agg(F.count_if(F.col("doc_id") == F.col("class_id")).alias("rows"), F.count(F.lit(1)).alias("all_rows")), "jac-ids")
+    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("own"))
     # Most ids have one row, which stays: only the texts of the others, and of false hits, are shuffled.
-    marked = with_hit(docs, own, bitmap_of(ids.filter(~F.expr("rows = 1 AND all_rows = 1")), "_id", "jac-open"), "_lodestone_hit")
-    plain = marked.filter(~F.col("_lodestone_hit") | docs["doc_id"].isNull()).drop("_lodestone_hit")
-    docs = marked.filter(F.col("_lodestone_hit") & docs["doc_id"].isNotNull()).drop("_lodestone_hit")
-    own = docs["doc_id"].cast("long")
-    single = docs.join(ids.filter("rows = 1"), own == F.col("_id"), "left_semi")
-    # Rows that share the id of a kept document are copies of each other, or ambiguous: the least text stays.
-    repeated = docs.join(ids.filter("rows > 1"), own == F.col("_id"), "left_semi")
-    place = Window.partitionBy(repeated["doc_id"]).orderBy(*[F.col(c).asc_nulls_last() for c in repeated.columns])
-    repeated = repeated.withColumn("_place", F.row_number().over(place)).filter("_place = 1").drop("_place")
-    return plain.unionByName(single).unionByName(repeated)
+    marked = with_hit(row, row["own"], bitmap_of(ids.filter(~F.expr("rows = 1 AND all_rows = 1")), "id", "jac-open"), "hit")
+    plain = marked.filter("NOT hit OR own IS NULL").select("row")
+    open_rows = marked.filter("hit AND own IS NOT NULL").select("row", "own")
+    single = open_rows.join(ids.filter("rows = 1"), F.col("own") == F.col("id"), "left_semi").select("row")
+    # Rows that share the id of a kept document are copies of each other, or ambiguous: the least row stays.
+    repeated = open_rows.join(ids.filter("rows > 1"), F.col("own") == F.col("id"), "left_semi")
+    place = Window.partitionBy("own").orderBy(*(F.col("row")[c].asc_nulls_last() for c in docs.columns))
+    repeated = repeated.withColumn("place", F.row_number().over(place)).filter("place = 1").select("row")
+    kept = plain.unionByName(single).unionByName(repeated)
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
