@@ -116,7 +116,8 @@ def mix_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     wordless = ~F.coalesce(docs["text"].cast("string").rlike(WORD), F.lit(False))
     times = F.when(wordless, F.lit(1)).otherwise(F.col("p.epochs").cast("int") + again)
     joined = docs.alias("d").join(cuts, docs["source"].cast("string").eqNullSafe(F.col("p.source")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("_again")).drop("_again")
+    rows = joined.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.explode(F.array_repeat(F.lit(0), times)).alias("again"))
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
