@@ -7,19 +7,21 @@ anchors, so they can be brought together by anchor instead of by position, and
 only around anchors that more than one distinct text has.
 
 1. Anchors of every text are dealt by hash; those of one text alone end here.
-2. Each text's stretches around shared anchors are dealt by anchor.  In the suffix
-   order of the stretches, ranked to ``length`` bytes by doubling and with equal
-   ranks by ``doc_id``, the nearest positions before and after with a smaller
-   ``doc_id`` give the longest match with an earlier document, up to ``length``.
+2. Each text's stretches around shared anchors are dealt by anchor.  Their starts are
+   put in suffix order, by the next ``length`` bytes and with equal ones by
+   ``doc_id``; the nearest starts before and after with a smaller ``doc_id`` give the
+   longest previous factor of each, up to ``length``.  Where it reaches ``length``
+   the bytes go.
 3. Stretches that are equal need one copy there: that of the smallest id.  Equal
-   ones in one batch are settled before the shuffle, which keeps a passage that a
-   third of all documents share from reaching one task whole.
+   ones in one batch are settled before the shuffle, and of those that arrive only
+   the first is kept, so a passage that a third of all documents share costs a task
+   its distinct surroundings.
 
 Later exact copies of a text go as a whole and are compared no further.
 
 Defined results: a null text is empty; a null ``doc_id`` is smaller than none and
 greater than none, so such rows keep all bytes; rows with the same ``doc_id`` do
-not remove each other's bytes; empty in, empty out.
+not remove each other's bytes; extra columns are not read; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, need, small_batches, table
+from .common import bitmap_of, durable, need, small_batches, table, with_hit
 
 LENGTH = 50
 GRAM = 20
@@ -41,83 +43,65 @@ _MASK40 = np.uint64((1 << 40) - 1)
 BATCH_DOCS = 512
 #: Anchors that a task gathers before it deals them.
 DEAL_ANCHORS = 1_000_000
-#: Bytes of distinct stretches that are ranked together.
+#: Bytes of distinct stretches whose starts are ordered together.
 RANK_BYTES = 3_000_000
-
-
-def longest_previous_factor(data: bytes, owner: np.ndarray) -> np.ndarray:
-    """For each position the longest match that starts at a position with a smaller owner.
-
-    The general form, with a full suffix array, used where the data are small.
+#: Bytes of text for which one partition of anchors is made, however large the corpus.
+PART_BYTES = 128_000_000
+#: Rounds of jumps before the search for smaller values takes a stack.
+JUMPS = 200
+
+
+def previous_smaller(x: np.ndarray) -> np.ndarray:
+    """Place of the nearest smaller value before each one, or -1."""
+    p = np.arange(-1, len(x) - 1)
+    left = np.nonzero((p >= 0) & (x[p] >= x))[0] if len(x) else p
+    for _ in range(JUMPS):
+        if not len(left):
+            return p
+        # All between p[i] and i are at least x[i], so where x[p[i]] is too, its own place is the next to try.
+        p[left] = p[p[left]]
+        at = p[left]
+        left = left[(at >= 0) & (x[at] >= x[left])]
+    stack: list[int] = []
+    values = x.tolist()
+    for i, v in enumerate(values):
+        while stack and values[stack[-1]] >= v:
+            stack.pop()
+        p[i] = stack[-1] if stack else -1
+        stack.append(i)
+    return p
+
+
+def longest_previous_factor(buffer: np.ndarray, starts: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """For each start the longest match with a start of a smaller owner, up to ``length`` (8 or more).
+
+    Previous and next smaller owners in suffix order give the two best rivals: the
+    match gets no longer further away in that order.  ``length`` bytes must follow
+    each start.
     """
-    n = len(data)
-    rank = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
-    step = 1
-    while True:
-        nxt = np.full(n, -1, dtype=np.int64)
-        nxt[: max(n - step, 0)] = rank[step:]
-        order = np.lexsort((nxt, rank))
-        change = np.ones(n, dtype=np.int64)
-        if n:
-            change[1:] = (rank[order][1:] != rank[order][:-1]) | (nxt[order][1:] != nxt[order][:-1])
-            change[0] = 0
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.cumsum(change)
-        rank = new
-        step *= 2
-        if n == 0 or rank.max() == n - 1 or step >= 2 * n:
-            break
-
-    def lcp(a: int, b: int) -> int:
-        k = 0
-        while a + k < n and b + k < n and data[a + k] == data[b + k]:
-            k += 1
-        return k
-
-    out = np.zeros(n, dtype=np.int64)
-    for positions in (order, order[::-1]):
-        stack: list[int] = []
-        for p in positions.tolist():
-            while stack and owner[stack[-1]] >= owner[p]:
-                stack.pop()
-            if stack:
-                out[p] = max(out[p], lcp(stack[-1], p))
-            stack.append(p)
-    return out
-
-
-def suffix_ranks(buffer: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each position's next ``length`` (8 to 64) bytes among all positions that have them."""
+    out = np.zeros(len(starts), dtype=np.int64)
+    if not len(starts):
+        return out
     b = buffer.astype(np.uint64)
     two = (b[:-1] << np.uint64(8)) | b[1:]
     four = (two[:-2] << np.uint64(16)) | two[2:]
-    key = (four[:-4] << np.uint64(32)) | four[4:]
-    have = 8
-    while True:
-        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-        if have == length:
-            return rank.astype(np.int64)
-        step = min(have, length - have)
-        key = (rank[: len(rank) - step] << np.uint64(32)) | rank[step:]
-        have += step
-
-
-def matched_before(buffer: np.ndarray, starts: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-    """Whether the longest previous factor at each start reaches ``length``.
-
-    Starts are ordered by their suffixes to ``length`` bytes, ties by owner; one
-    whose previous smaller owner in that order has an equal rank matches it to the
-    full length.  Among equals the first owner is the least, so that is the case
-    for all but those of the first owner.
-    """
-    rank = suffix_ranks(buffer, length)[starts]
-    order = np.lexsort((owner, rank))
-    r, o = rank[order], owner[order]
-    first = np.ones(len(r), dtype=bool)
-    first[1:] = r[1:] != r[:-1]
-    least = o[np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))]
-    out = np.empty(len(r), dtype=bool)
-    out[order] = o > least
+    eight = (four[:-4] << np.uint64(32)) | four[4:]
+    offsets = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+    words = [eight[starts + o] for o in offsets]
+    order = np.lexsort((owner, *reversed(words)))
+    o = owner[order]
+    before, after = previous_smaller(o), len(o) - 1 - previous_smaller(o[::-1])[::-1]
+    for near in (before, after):
+        mine = np.nonzero((near >= 0) & (near < len(o)))[0]
+        a, b = order[mine], order[near[mine]]
+        for offset, word in zip(offsets, words, strict=True):
+            differ = word[a] ^ word[b]
+            end = differ != 0
+            # The first byte that differs; words may overlap, which only compares bytes again.
+            at = (differ[end].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(1)
+            out[a[end]] = np.maximum(out[a[end]], offset + at)
+            a, b = a[~end], b[~end]
+        out[a] = length
     return out
 
 
@@ -205,16 +189,14 @@ def _shared(a: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
     return a, t, np.bincount(group)[group] > 1 if len(a) else head, head
 
 
-def shared_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def shared_anchors(texts: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
     """(short, anchors) of the anchors that a text shares with another one.
 
     ``short`` is 40 bits of ``th``, a hash of the text, with the lowest bit set.
     Anchors travel in packed rows, one for each target and DEAL_ANCHORS anchors:
     first by anchor, then, where shared, by text.
     """
-    spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small_batches(spark, BATCH_DOCS)
+    small_batches(texts.sparkSession, BATCH_DOCS)
     named, schema = ["part", "mine", "a", "t"], "part int, mine boolean, a binary, t binary"
     kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
     batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], named)
@@ -275,14 +257,12 @@ def shared_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return dealt.mapInArrow(meet, schema).repartition(parts, "part").mapInArrow(gather, "short long, a binary")
 
 
-def covered(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def covered(texts: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
     """(doc_id, spans): byte ranges to remove, packed pairs of 32-bit start and end; several rows a document.
 
     ``texts`` has (doc_id, text, a) with the shared anchors of each distinct text.
     """
-    spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small_batches(spark, BATCH_DOCS)
+    small_batches(texts.sparkSession, BATCH_DOCS)
     schema = "anchor long, doc_id long, at binary, stretch binary, done boolean"
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
     named = ["anchor", "doc_id", "at", "stretch", "done"]
@@ -312,41 +292,30 @@ def covered(texts: DataFrame, length: int, gram: int) -> DataFrame:
             rows = []
             for (doc, anchor, stretch), found in places.items():
                 over = best[anchor, stretch] < doc
-                rows.append((anchor, doc, np.array(found, dtype="<i4").tobytes(), np.int32(len(stretch)).tobytes() if over else stretch, over))
+                # What is settled needs no meeting: it goes by document, not to the task of a frequent anchor.
+                rows.append((doc if over else anchor, doc, np.array(found, dtype="<i4").tobytes(), np.int32(len(stretch)).tobytes() if over else stretch, over))
             for lo in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 20_000], strict=True), kinds, strict=True)], named)
 
-    def settle(rows: list[tuple]) -> list[tuple[int, int, int]]:
-        """(doc_id, start, end) from the whole rows of some anchors, in order of anchor."""
-        out = []
-        kinds_of: dict[tuple[int, bytes], int] = {}
+    def settle(kinds_of: dict[tuple[int, bytes], tuple[int, list[bytes]]]) -> list[tuple[int, int, int]]:
+        """(doc_id, start, end) from the distinct stretches of some anchors, each with its least document and the places there."""
         counts: dict[int, int] = {}
-        for anchor, doc, _, stretch in rows:
-            key = (anchor, stretch)
-            if key not in kinds_of:
-                counts[anchor] = counts.get(anchor, 0) + 1
-                kinds_of[key] = doc
-            elif doc < kinds_of[key]:
-                kinds_of[key] = doc
-        ranked = [(key, doc) for key, doc in kinds_of.items() if counts[key[0]] > 1]
-        flags: dict[tuple[int, bytes], np.ndarray] = {}
-        if ranked:
-            sizes = np.array([len(key[1]) for key, _ in ranked])
-            begin = np.cumsum(sizes) - sizes
-            inner = sizes - length + 1
-            starts = np.repeat(begin - (np.cumsum(inner) - inner), inner) + np.arange(inner.sum())
-            buffer = np.frombuffer(b"".join(key[1] for key, _ in ranked), dtype=np.uint8)
-            hit = matched_before(buffer, starts, np.repeat(np.array([doc for _, doc in ranked]), inner), length)
-            for (key, _), f in zip(ranked, np.split(hit, np.cumsum(inner)[:-1]), strict=True):
-                flags[key] = f
-        for anchor, doc, at, stretch in rows:
-            key = (anchor, stretch)
-            where = np.frombuffer(at, dtype="<i4").tolist()
-            if doc > kinds_of[key]:
-                out += [(doc, p, p + len(stretch)) for p in where]
-            elif (f := flags.get(key)) is not None and f.any():
+        for anchor, _ in kinds_of:
+            counts[anchor] = counts.get(anchor, 0) + 1
+        ranked = [(stretch, *kinds_of[anchor, stretch]) for anchor, stretch in kinds_of if counts[anchor] > 1]
+        if not ranked:
+            return []
+        sizes = np.array([len(stretch) for stretch, _, _ in ranked])
+        begin = np.cumsum(sizes) - sizes
+        inner = sizes - length + 1
+        starts = np.repeat(begin - (np.cumsum(inner) - inner), inner) + np.arange(inner.sum())
+        buffer = np.frombuffer(b"".join(stretch for stretch, _, _ in ranked), dtype=np.uint8)
+        hit = longest_previous_factor(buffer, starts, np.repeat(np.array([doc for _, doc, _ in ranked]), inner), length) >= length
+        out = []
+        for (_, doc, places), f in zip(ranked, np.split(hit, np.cumsum(inner)[:-1]), strict=True):
+            if f.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
-                out += [(doc, p + int(s), p + int(e) - 1 + length) for p in where for s, e in zip(edge[::2], edge[1::2], strict=True)]
+                out += [(doc, p + int(s), p + int(e) - 1 + length) for at in places for p in np.frombuffer(at, dtype="<i4").tolist() for s, e in zip(edge[::2], edge[1::2], strict=True)]
         return out
 
     def packed(spans: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -356,8 +325,9 @@ def covered(texts: DataFrame, length: int, gram: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array([np.array(v, dtype="<i4").tobytes() for v in by.values()], pa.binary())], ["doc_id", "spans"])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size = 0
+        # Rows come by anchor and document, so the first of a kind has its least document: later ones go whole, at once.
+        kinds_of: dict[tuple[int, bytes], tuple[int, list[bytes]]] = {}
+        size, last = 0, None
         for batch in batches:
             done = []
             for anchor, doc, at, stretch, over in zip(*(batch.column(c).to_pylist() for c in named), strict=True):
@@ -365,15 +335,21 @@ def covered(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     n = int(np.frombuffer(stretch, dtype=np.int32)[0])
                     done += [(doc, p, p + n) for p in np.frombuffer(at, dtype="<i4").tolist()]
                     continue
-                if size > RANK_BYTES and rows[-1][0] != anchor:
-                    if spans := settle(rows):
-                        yield packed(spans)
-                    rows, size = [], 0
-                rows.append((anchor, doc, at, stretch))
-                size += len(stretch)
+                if size > RANK_BYTES and last != anchor:
+                    done += settle(kinds_of)
+                    kinds_of, size = {}, 0
+                last = anchor
+                known = kinds_of.get((anchor, stretch))
+                if known is None:
+                    kinds_of[anchor, stretch] = (doc, [at])
+                    size += len(stretch)
+                elif doc > known[0]:
+                    done += [(doc, p, p + len(stretch)) for p in np.frombuffer(at, dtype="<i4").tolist()]
+                else:
+                    known[1].append(at)
             if done:
                 yield packed(done)
-        if rows and (spans := settle(rows)):
+        if spans := settle(kinds_of):
             yield packed(spans)
 
     dealt = texts.select("doc_id", "text", "a").mapInArrow(stretches, schema)
@@ -398,12 +374,14 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tu
     facts = durable(facts, "sub-facts")
     firsts = facts.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
     facts = durable(facts.join(firsts, "sha"), "sub-ids")
+    whole = facts.agg(F.sum("n_bytes")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole // PART_BYTES))
     long = rows.filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).withColumn("th", F.xxhash64("text"))
-    shared = durable(shared_anchors(long, length, gram), "sub-anchors")
+    shared = durable(shared_anchors(long, length, gram, parts), "sub-anchors")
     own = facts.filter("doc_id = first_id").select("doc_id").distinct().withColumnRenamed("doc_id", "first")
     active = long.withColumn("short", F.col("th").bitwiseAND(F.lit(int(_MASK40))).bitwiseOR(F.lit(1)))
     active = active.join(shared, "short").join(own, F.col("doc_id") == F.col("first"), "left_semi")
-    spans = covered(active, length, gram).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    spans = covered(active, length, gram, parts).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     return facts, durable(spans, "sub-spans")
 
 
@@ -427,6 +405,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["d", "s", "n_removed", "n_spans", "kept"])
 
+    # Only texts that lose something, and false hits of the bitmap, are shuffled.
+    rows = with_hit(rows, rows["doc_id"], bitmap_of(spans, "doc_id", "sub-cut-ids"), "hit").filter("hit").drop("hit")
     parts = rows.join(spans, "doc_id").mapInArrow(cut, "d long, s string, n_removed long, n_spans long, kept string").distinct()
     parts = durable(parts, "sub-cut")
     copy = (F.col("n_bytes") >= length) & (F.col("first_id") < F.col("doc_id"))
