@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -115,6 +116,50 @@ def test_pii_terms_in_all_documents(spark):
     assert out[42:] == [x.replace("zanzibar", "[TERM]").replace("k@y.org", "[EMAIL]") for x in often]
 
 
+def brute_terms(rows):
+    """Spans of disclosing terms of each (doc_id, text), by the definition."""
+    n = len(rows)
+    words = lambda t: {m[0].lower() for m in re.finditer(r"[^\W_]+", t) if len(m[0].lower()) >= 3}
+    values = lambda t: {(k, t[int(a) : int(b)]) for k, a, b in (s.split(":") for s in base_spans(t).split(",") if s)}
+    n_t = collections.Counter(w for _, t in rows for w in words(t))
+    n_e = collections.Counter(e for _, t in rows for e in values(t))
+    texts, n_et, support = collections.defaultdict(set), collections.Counter(), collections.defaultdict(set)
+    for _, t in rows:
+        for e in values(t):
+            texts[e].add(t)
+            for w in words(t):
+                n_et[e, w] += 1
+                support[e, w].add(t)
+    marked = {w for (e, w), both in n_et.items() if len(support[e, w]) >= min(3, len(texts[e])) and both * 2 >= n_t[w] and both * n > n_t[w] * n_e[e]}
+    out = []
+    for d, t in rows:
+        base = [tuple(map(int, s.split(":")[1:])) for s in base_spans(t).split(",") if s]
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in marked]
+        out.append((d, ",".join(f"term:{a}:{b}" for a, b in spans if not any(x <= a and b <= y for x, y in base))))
+    return collections.Counter(out)
+
+
+def test_pii_terms_by_brute_force(spark, edge, sf):
+    """Every disclosure score and every span of a term, also in long texts and for single entities."""
+    some = False
+    for path in (edge, sf):
+        rows = docs_of(spark, path)
+        got = collections.Counter((r["doc_id"], ",".join(s for s in r["spans"].split(",") if s.startswith("term:"))) for r in queries.op1_pii(spark, path).collect())
+        want = brute_terms(rows)
+        assert got == want
+        some |= any(s for _, s in want)
+    assert some
+
+
+def test_pii_clashing_columns(spark):
+    """Columns named like the operator's own ones stay as they are."""
+    names = ["row", "key", "hit", "k", "spans", "marked", "new", "_key", "_new", "_hit", "_spans"]
+    docs = spark.createDataFrame([(1, "mail a@b.org or", 15, *names), (2, "plain words", 11, *names)], "doc_id long, text string, n_chars int, " + ", ".join(f"{n} string" for n in names))
+    out = [tuple(r) for r in pii.sanitise(docs).orderBy("doc_id").collect()]
+    assert [r[3:] for r in out] == [tuple(names)] * 2 and out[1][:3] == (2, "plain words", 11)
+    assert out[0][1].startswith("[TERM] [EMAIL]") and out[0][2] == len(out[0][1])
+
+
 def test_topk(spark, edge):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{edge}/embeddings.parquet").collect()]
     fine = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
@@ -130,28 +175,75 @@ def test_topk(spark, edge):
         assert got == want
 
 
-def test_fingerprint(spark, edge):
-    out = queries.op3_fingerprint(spark, edge).collect()
-    rows = sorted(((d if d is not None else -(2**63), hashlib.md5(x.encode()).hexdigest(), d, x) for d, x in docs_of(spark, edge)), key=lambda r: (-r[0], r[1]))
-    want = collections.Counter()
-    for k, (_, _, d, x) in enumerate(rows):
-        other, cut = rows[(k + 1) % len(rows)][3], len(x) // 3
-        want[d, len(x), hashlib.sha256((x[: len(x) - cut] + other[:cut]).encode()).hexdigest()] += 1
-    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out) == want
-    by_text = collections.defaultdict(set)
-    texts = collections.defaultdict(set)
-    for d, x in docs_of(spark, edge):
-        texts[d].add(x)
-    for r in out:
-        if len(texts[r["doc_id"]]) == 1:
-            by_text[next(iter(texts[r["doc_id"]]))].add(r["fingerprint"])
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert all(len(v) == 1 for v in by_text.values())
+def naive_fingerprint(text, functions=128):
+    """The two least numbered k-mers of each function's order, in text order."""
+    import xxhash
+
+    def signed(b, seed):
+        return xxhash.xxh64_intdigest(b, seed)
+
+    def h(*parts):  # a string, an 8-byte or a 4-byte number each
+        out = 42
+        for p in parts:
+            if p is not None:
+                out = signed(p.encode() if isinstance(p, str) else p, out)
+        return out
+
+    long = lambda v: (v & (2**64 - 1)).to_bytes(8, "little")
+    int_ = lambda v: v.to_bytes(4, "little")
+    signed33 = lambda v: v - 2**33 if v >= 2**32 else v
+    tokens = re.findall(r"[^ \t\n\x0b\f\r]{1,16}", text)
+    if not tokens:
+        return [h(int_(f)) >> 32 for f in range(functions)]
+    seen, numbered = collections.Counter(), []
+    for i in range(max(1, len(tokens) - 2)):
+        kmer = h(*(tokens[i + j] if i + j < len(tokens) else None for j in range(3))) >> 31
+        what = h(long(signed33(kmer)), int_(seen[kmer])) >> 31
+        seen[kmer] += 1
+        numbered.append((what, i + 1))
+    out = []
+    for f in range(functions):
+        start = ((f * (2**64 // functions) - 2**63) % 2**64) >> 31
+        least = sorted(numbered, key=lambda x: ((x[0] - start) % 2**33, x[1]))[:2]
+        a, b = sorted([least[0], least[-1]], key=lambda x: x[1])
+        out.append(h(int_(f), long(signed33(a[0])), long(signed33(b[0]))) >> 32)
+    return out
+
+
+def test_fingerprint(spark, edge, sf):
+    """Every column by brute force, with the edge cases and over a plain table."""
+    for path in (edge, sf):
+        rows = sorted(((d is None, -(d or 0), hashlib.md5(x.encode()).hexdigest(), d, x) for d, x in docs_of(spark, path)), key=lambda r: r[:3])
+        want = collections.Counter()
+        hexed = lambda fp: "".join(f"{v:08x}" for v in fp)
+        alike = lambda a, b: sum(p == q for p, q in zip(a, b, strict=True)) / 128
+        for k, (_, _, _, d, x) in enumerate(rows):
+            other, cut = rows[(k + 1) % len(rows)][4], len(x) // 3
+            new = x[: len(x) - cut] + other[:cut]
+            fp, edited_fp = naive_fingerprint(x), naive_fingerprint(new)
+            want[d, len(x), hashlib.sha256(new.encode()).hexdigest(), hexed(fp), hexed(edited_fp), alike(fp, edited_fp), alike(fp, naive_fingerprint(other))] += 1
+        got = collections.Counter(tuple(r[c] for c in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")) for r in queries.op3_fingerprint(spark, path).collect())
+        assert got == want
+
+
+def test_fingerprint_order_and_numbers(spark):
     x = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
-    df = spark.createDataFrame([(0, x), (1, x), (2, x.replace("fourteen", "last")), (3, " ".join(reversed(x.split())))], "id int, text string")
-    fp = {r["id"]: r["fp"] for r in fingerprint.fingerprints(df, ["id"]).collect()}
-    same = lambda a, b: sum(p == q for p, q in zip(fp[a], fp[b], strict=True)) / 16
-    assert same(0, 1) == 1 and 0.4 < same(0, 2) < 1 and same(0, 3) == 0
+    texts = [x, x, x.replace("fourteen", "last"), " ".join(reversed(x.split())), "a b c " * 5, "a b c " * 9]
+    fp = [r["fp"] for r in spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", fingerprint.fingerprint(F.col("text")).alias("fp")).orderBy("id").collect()]
+    same = lambda a, b: sum(p == q for p, q in zip(fp[a], fp[b], strict=True)) / 128
+    assert same(0, 1) == 1 and 0.4 < same(0, 2) < 1 and same(0, 3) == 0 and 0 < same(4, 5) < 1
+
+
+def test_successors_in_ranges(spark):
+    """Small ranges, a frequent id and null ids: the same successors as one sort."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 7, 7, rng.randint(-50, 50), 2**62 + rng.randint(0, 9), -(2**63)]), f"t{rng.randint(0, 150)}") for _ in range(400)]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+    want = collections.Counter((*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (3, 40, 1000):
+        out = fingerprint.with_next(docs, lambda r: r.withColumn("fp", F.array(F.length("text"))), range_rows=size)
+        assert collections.Counter((r["doc_id"], r["text"], r["next_text"]) for r in out.collect()) == want
 
 
 def test_warc(spark, edge):
@@ -233,21 +325,42 @@ def test_substrings(spark, edge, sf):
 
 def test_longest_previous_factor():
     rng = random.Random(5)
-    data = bytes(rng.choice(b"ab") for _ in range(80))
-    owner = np.repeat(np.arange(8), 10)
-    lpf = substrings.longest_previous_factor(data, owner)
-    for i in range(80):
-        best = 0
-        for j in range(80):
-            if owner[j] < owner[i]:
-                k = 0
-                while max(i, j) + k < 80 and data[i + k] == data[j + k]:
-                    k += 1
-                best = max(best, k)
-        assert lpf[i] == best
-    buffer = np.frombuffer(data, dtype=np.uint8)
-    starts = np.arange(80 - 8 + 1)
-    assert (substrings.matched_before(buffer, starts, owner[starts], 8) == (lpf[starts] >= 8)).all()
+    for letters, n, length in ((b"ab", 90, 8), (b"abc", 200, 11), (b"a", 60, 16), (b"ab", 300, 50)):
+        data = bytes(rng.choice(letters) for _ in range(n))
+        buffer = np.frombuffer(data, dtype=np.uint8)
+        starts = np.array(sorted(rng.sample(range(n - length + 1), min(40, n - length + 1))))
+        owner = np.array([rng.randint(0, 9) for _ in starts])
+        lpf = substrings.longest_previous_factor(buffer, starts, owner, length)
+        for i, s in enumerate(starts):
+            best = 0
+            for j, q in enumerate(starts):
+                if owner[j] < owner[i]:
+                    k = 0
+                    while k < length and data[s + k] == data[q + k]:
+                        k += 1
+                    best = max(best, k)
+            assert lpf[i] == best
+    assert len(substrings.longest_previous_factor(buffer, starts[:0], owner[:0], 50)) == 0
+
+
+def test_previous_smaller(monkeypatch):
+    rng = np.random.default_rng(2)
+    for jumps in (200, 1):
+        monkeypatch.setattr(substrings, "JUMPS", jumps)
+        for x in (rng.integers(0, 9, 300), np.arange(50), np.arange(50)[::-1], np.append(np.arange(1, 300), 0), np.zeros(20, int), np.zeros(0, int)):
+            want = [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(len(x))]
+            assert substrings.previous_smaller(x).tolist() == want
+
+
+def test_substrings_of_a_frequent_passage(spark):
+    """A passage in every document, whole or in part, between words of its own, and repeats within one document."""
+    rng = random.Random(8)
+    own = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = own(300)
+    docs = [(i, own(rng.randint(0, 90)) + passage[rng.randint(0, 60) : rng.randint(120, 300)] + own(rng.randint(0, 90))) for i in range(150)]
+    docs += [(200 + i, x * 2 + x[:70]) for i, (_, x) in enumerate(docs[:20])]
+    got = collections.Counter(tuple(r) for r in substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect())
+    assert got == collections.Counter(removed(docs))
 
 
 def test_toxicity_held_out(spark):
@@ -266,9 +379,36 @@ def test_toxicity_held_out(spark):
     assert sum((lexicon.score(x) >= 0.5) == (t == 1) for x, t in hold) / len(hold) > 0.97
     assert lexicon.score(None) == 0 and lexicon.score("") == 0
     safe = toxicity.Lexicon({"=trash": 5.0}, 1.0)
+    assert toxicity.weigh({"=idiot": 60, "idiot": 80}, {"=idiot": 0, "idiot": 1}, 100, 100).keys() == {"=idiot", "idiot"}
     assert safe.raw("a tr4sh can") == 0 and safe.raw("such trаsh") > 0 and safe.raw("trashy") == 0
 
 
+def naive_raw(lexicon, text):
+    """The raw score by looking at each word for each term."""
+    t = toxicity.fold(text)
+    at = [m.span() for m in re.finditer(r"[^\W_]+", t)]
+    safe = [(m.start(), m.end()) for x in lexicon.exceptions for m in re.finditer(rf"(?<![^\W_]){re.escape(x)}(?![^\W_])", t)]
+    total = 0.0
+    for a, b in at:
+        best = 0.0
+        for term, weight in lexicon.terms.items():
+            bare = term.lstrip("=")
+            if (t[a:b] == bare if term[0] == "=" else t[a:b].startswith(bare)) and not any(x <= a and a + len(bare) <= y for x, y in safe):
+                best = max(best, weight)
+        total += best
+    return total / (1.0 + np.log1p(t.count(" ") / 50.0))
+
+
+def test_toxicity_by_naive_matcher():
+    rng = random.Random(11)
+    lexicon = toxicity.Lexicon({"=trash": 5.0, "tra": 2.0, "idiot": 4.0, "=idiot": 6.0, "=clown": 3.0, "scum": 1.5, "=scumbag": 7.0}, 1.0)
+    bits = ["trash", "tr4sh", "trashy", "can", "bin", "idiot", "id1ot", "IDIOTIC", "clown", "class", "fish", "scum", "scumbag", "scumbags", "the", "ex-idiot", "nоt", "trаin", "a.b"]
+    for _ in range(300):
+        text = rng.choice([" ", "  "]).join(rng.choice(bits) + rng.choice(["", "", ".", "!!"]) for _ in range(rng.randint(0, 30)))
+        assert abs(lexicon.raw(text) - naive_raw(lexicon, text)) < 1e-9, text
+    assert lexicon.raw("you idiot") > 0 and lexicon.raw("you idiotic man") > 0
+
+
 def test_mixing_targets(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 500)], "source string, size long")
     got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.source_targets(sizes).collect()}
@@ -313,6 +453,13 @@ def test_mixed_documents(spark, edge, sf):
         assert collections.Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.mix_documents(docs).collect()) == +want
 
 
+def test_mixed_documents_clashing_columns(spark):
+    names = ["row", "again", "_again", "last", "epochs", "p"]
+    docs = spark.createDataFrame([(1, "a b c", "s", *names), (2, "d e", None, *names)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns and {r[3:] for r in out.collect()} == {tuple(names)}
+
+
 def brute_links(docs):
     sets, links, root = {}, collections.Counter(), {}
     rows = [(k, d, x.split()) for k, (d, x) in enumerate(docs)]
@@ -348,6 +495,7 @@ def test_jaccard(spark, edge, sf):
 
 
 def test_jaccard_split_buckets(spark):
+    """Buckets split to several levels, and near copies that no split tells apart."""
     base = [f"w{i}" for i in range(300)]
     docs = [(i, " ".join([*base, f"x{i}"])) for i in range(60)] + [(100 + i, f"only {i} here now so") for i in range(20)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -355,6 +503,36 @@ def test_jaccard_split_buckets(spark):
     assert all(got[i] == (0, 59) for i in range(60)) and all(got[100 + i] == (100 + i, 0) for i in range(20))
 
 
+def test_jaccard_recall_when_split(spark, sf):
+    """Passages that many unlike texts share make large buckets: pairs in them are found at any depth of splits."""
+    rng = random.Random(17)
+    passage = " ".join(f"p{i}" for i in range(40))
+    own = lambda: " ".join(f"z{rng.randint(0, 10**9)}" for _ in range(60))
+    texts = [f"{own()} {passage}" for _ in range(120)]
+    near = []
+    for k, x in enumerate(texts[:60]):
+        w = x.split()
+        w[rng.randrange(60)] = f"n{k}"
+        near.append(" ".join(w))
+    docs = list(enumerate([*texts, *near])) + [(1000 + d, x) for d, x in docs_of(spark, sf)]
+    want = brute_links(docs)
+    total = sum(n * c for (_, _, n), c in want.items())
+    assert total >= 120
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for split in (100, 20, 6):
+        got = jaccard.jaccard_classes(df, split=split, chunk=8).collect()
+        links = {r["doc_id"]: r["n_links"] for r in got}
+        assert sum(links.values()) >= 0.995 * total, split
+        if sum(links.values()) == total:
+            assert collections.Counter(map(tuple, got)) == want
+
+
+def test_near_copies_clashing_columns(spark):
+    names = ["row", "own", "hit", "id", "place", "_id", "_lodestone_hit", "rows"]
+    docs = spark.createDataFrame([(1, "a b c d e f g", *names), (2, "a b c d e f g", *names), (3, "other words", *names), (None, "x", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    assert sorted((r["doc_id"] or 0, *r[2:]) for r in jaccard.drop_near_copies(docs).collect()) == [(d, *names) for d in (0, 1, 3)]
+
+
 def test_licences(spark, edge):
     scan = licences.Scanner().scan
     got = scan("x\nReleased under the MIT License. Foo. Licensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0.")[1]
@@ -375,6 +553,39 @@ def test_licences_wrapped_and_repeated():
     assert names("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and the associated documentation files") == [("MIT", "variant")]
 
 
+def test_licence_texts():
+    """Whole texts, file headers and tags, wrapped, altered, repeated and in a long text."""
+    scanner = licences.Scanner()
+    names = lambda text: [(h[0], h[3]) for h in scanner.scan(text)[1]]
+    bsd2 = " ".join((licences.BSD_OPENING + ":", licences.BSD_SOURCE, licences.BSD_BINARY, licences.BSD_DISCLAIMER))
+    bsd3 = " ".join((licences.BSD_OPENING + ":", licences.BSD_SOURCE, licences.BSD_BINARY, licences.BSD_NAMES, licences.BSD_DISCLAIMER))
+    wrap = lambda text, n=60: "\n * ".join(textwrap.wrap(text, n, break_long_words=False, break_on_hyphens=False))
+    for name, text in {"BSD-2-Clause": bsd2, "BSD-3-Clause": bsd3, "ISC": licences.ISC_GRANT, "Apache-2.0": licences.APACHE_HEADER, "MIT": f"{licences.MIT_GRANT} {licences.MIT_NOTICE} {licences.MIT_DISCLAIMER}"}.items():
+        assert names(text) == names(wrap(text)) == names("x " * 30_000 + wrap(text, 40) + " y" * 30_000) == [(name, "exact")]
+    assert names(wrap(bsd3.replace("the copyright holder nor", "Acme Rockets nor"))) == [("BSD-3-Clause", "variant")]
+    assert names("* " + wrap(licences.BSD_OPENING, 40) + ":") == [("BSD", "exact")]
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    assert names(gpl) == [("GPL-3.0", "exact")] and names(gpl.replace("version 3", "version 2"))[0][0] == "GPL-2.0"
+    assert names("// SPDX-License-Identifier: CC-BY-SA-4.0\n# SPDX-License-Identifier: MIT") == [("CC-BY-SA-4.0", "exact"), ("MIT", "exact")]
+    assert names("Released under the MIT License. " * 3000) == [("MIT", "exact")] * 3000
+
+
+def test_licences_by_naive_search():
+    """Every exact notice that a plain search for its words finds, in random texts."""
+    rng, scanner = random.Random(9), licences.Scanner()
+    short = [t for t in licences.TEMPLATES if len(t[1]) < 160]
+    patterns = [(n, re.compile(r"(?<![^\W_])" + r"[\W_]+".join(map(re.escape, licences.words(t))) + r"(?![^\W_])(?!\.\d)", re.I)) for n, t in licences.TEMPLATES]
+    for _ in range(150):
+        parts = [rng.choice(["some words here", "lorem ipsum dolor", "no notice at all", rng.choice(short)[1]]) for _ in range(rng.randint(1, 12))]
+        text = rng.choice([" ", "\n", " -- "]).join(parts)
+        want, taken = [], []
+        for s, e, n in sorted(((m.start(), m.end(), n) for n, p in patterns for m in p.finditer(text)), key=lambda x: (x[0] - x[1], x[0], x[2])):  # the longest stay
+            if all(e <= a or s >= b for a, b in taken):
+                taken.append((s, e))
+                want.append((s, e, n))
+        assert [(h[1], h[2], h[0]) for h in scanner.scan(text)[1] if h[3] == "exact"] == sorted(want)
+
+
 def test_crowded_bitmap(spark, edge, monkeypatch):
     """Bitmaps full of false hits change no result."""
     docs = spark.read.parquet(f"{edge}/documents.parquet")
