@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,22 +9,33 @@ from ..functions import scalars as S
 
 
 def resolve_conflicts(df: DataFrame, key: str, tolerance_km: float = 1.0) -> DataFrame:
-    """(key, lat, lon, status): unique, within_tolerance, by_quality, or refused without a place.
+    """(key, lat, lon, n, status): unique, within_tolerance, by_quality, or refused without a place.
 
-    The spread is bounded by the corner distance of a key's bounding box, one
-    aggregate instead of a self join.
+    The spread is the largest distance between two places of a key.  The bounding box
+    settles most keys: its corners bound the spread from above, its sides from below.
+    For the rest the ends of each latitude, where the two farthest places must lie, are
+    compared with each other.
     """
-    pts = df.filter("lat IS NOT NULL AND lon IS NOT NULL").select(key, "lat", "lon", "quality").distinct()
-    best = Window.partitionBy(key)
-    pts = pts.withColumn("_top", F.max("quality").over(best))
-    per = pts.groupBy(key).agg(
-        F.count_distinct("lat", "lon").alias("n"), F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"),
-        F.count_distinct(F.when(F.col("quality") == F.col("_top"), F.struct("lat", "lon"))).alias("n_top"),
-        F.max_by(F.struct("lat", "lon"), F.struct("quality", "lat", "lon")).alias("p"),
+    pts = df.filter("lat IS NOT NULL AND lon IS NOT NULL").select(key, "lat", "lon", "quality")
+    rows = pts.groupBy(key, "lat").agg(F.min("lon").alias("west"), F.max("lon").alias("east"), F.count(F.lit(1)).alias("n"), F.max("quality").alias("top"), F.max_by(F.struct("lat", "lon"), "quality").alias("best"))
+    tops = pts.join(pts.groupBy(key).agg(F.max("quality").alias("top")), key).filter("quality = top").groupBy(key).agg(F.count(F.lit(1)).alias("n_top"))
+    per = rows.groupBy(key).agg(
+        F.sum("n").alias("n"), F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("west").alias("c"), F.max("east").alias("d"),
+        F.min(F.struct("lat", F.col("west").alias("lon"))).alias("first"), F.max_by("best", "top").alias("best"),
     )
-    spread = S.haversine_km(F.col("a"), F.col("c"), F.col("b"), F.col("d"))
-    status = F.when(F.col("n") == 1, "unique").when(spread <= tolerance_km, "within_tolerance").when(F.col("n_top") == 1, "by_quality").otherwise("refused")
-    return per.select(key, F.when(status != "refused", F.col("p.lat")).alias("lat"), F.when(status != "refused", F.col("p.lon")).alias("lon"), status.alias("status"))
+    per = per.join(tops, key, "left")
+    most = F.radians(F.greatest(F.abs("a"), F.abs("b")))
+    least = F.when((F.col("a") <= 0) & (F.col("b") >= 0), F.lit(0.0)).otherwise(F.radians(F.least(F.abs("a"), F.abs("b"))))
+    high, wide = F.sin(F.radians(F.col("b") - F.col("a")) / 2), F.sin(F.radians(F.col("d") - F.col("c")) / 2)
+    above = F.lit(2 * 6371.0) * F.asin(F.least(F.lit(1.0), F.sqrt(high * high + F.pow(F.cos(least) * wide, 2))))
+    below = F.greatest(S.haversine_km(F.col("a"), F.lit(0.0), F.col("b"), F.lit(0.0)), F.lit(2 * 6371.0) * F.asin(F.least(F.lit(1.0), F.cos(most) * wide)))
+    per = per.withColumn("near", F.when((F.col("n") == 1) | (above <= tolerance_km), True).when(below > tolerance_km, False))
+    ends = rows.join(per.filter("near IS NULL").select(key), key, "left_semi").groupBy(key).agg(F.flatten(F.collect_list(F.array(F.struct("lat", F.col("west").alias("lon")), F.struct("lat", F.col("east").alias("lon"))))).alias("ends"))
+    far = F.exists("ends", lambda p: F.exists("ends", lambda q: S.haversine_km(p["lat"], p["lon"], q["lat"], q["lon"]) > tolerance_km))
+    per = per.join(ends.select(key, (~far).alias("compared")), key, "left").withColumn("near", F.coalesce("near", "compared"))
+    status = F.when(F.col("n") == 1, "unique").when(F.col("near"), "within_tolerance").when(F.col("n_top") == 1, "by_quality").otherwise("refused")
+    per = per.withColumn("status", status).withColumn("at", F.when(F.col("status") == "by_quality", F.col("best")).when(F.col("status") != "refused", F.col("first")))
+    return per.select(key, F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon"), "n", "status")
 
 
 def hierarchy(coordinate: Column, zip_unique: Column) -> tuple[Column, Column]:
@@ -55,37 +65,41 @@ def dominant_mapping(df: DataFrame, source: str, target: str, weight: str) -> Da
     return per.withColumn("_n", F.row_number().over(Window.partitionBy(source).orderBy(F.col("w").desc(), F.col(target).asc()))).filter("_n = 1").drop("_n")
 
 
-def _inside(points_lat, points_lon, rings):
-    import numpy as np
+def inside(lat: Column, lon: Column, ring: Column) -> Column:
+    """Whether a point lies in a ring of [lon, lat] arrays: an odd number of its sides cross the ray to the east."""
+    x, y = lambda p: F.get(p, 0), lambda p: F.get(p, 1)
 
-    out = np.zeros(len(points_lat), dtype=bool)
-    for i, (y, x, ring) in enumerate(zip(points_lat, points_lon, rings, strict=True)):
-        if ring is None or y is None or x is None:
-            continue
-        p = np.array([[v["lon"], v["lat"]] if isinstance(v, dict) else [v[0], v[1]] for v in ring], dtype=float)
-        q = np.roll(p, -1, axis=0)
-        cross = (p[:, 1] > y) != (q[:, 1] > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            at = (q[:, 0] - p[:, 0]) * (y - p[:, 1]) / (q[:, 1] - p[:, 1]) + p[:, 0]
-        out[i] = bool(np.count_nonzero(cross & (x < at)) % 2)
-    return out
+    def side(n: Column, i: Column) -> Column:
+        p, q = F.get(ring, i), F.get(ring, (i + 1) % F.size(ring))
+        cross = (y(p) > lat) != (y(q) > lat)
+        return n + F.when(cross & (lon < (x(q) - x(p)) * (lat - y(p)) / (y(q) - y(p)) + x(p)), 1).otherwise(0)
 
+    crossings = F.aggregate(F.sequence(F.lit(0), F.size(ring) - 1), F.lit(0), side)
+    return F.when(F.size(ring) > 0, crossings % 2 == 1).otherwise(F.lit(False))
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
-    """(point columns, polygon_id) for every containing polygon.
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(point columns, polygon_id and ``carry``) for every containing polygon.
 
     ``polygons`` has polygon_id and ring, an array of [lon, lat] arrays.  Both sides
-    meet on grid cells of ``cell`` degrees, so only points near a polygon are cast.
+    meet on grid cells of ``cell`` degrees, so only points near a polygon are tested.
     """
-    @F.pandas_udf("boolean")
-    def inside(lat: pd.Series, lon: pd.Series, ring: pd.Series) -> pd.Series:
-        return pd.Series(_inside(lat, lon, ring))
-
     low = lambda axis, f: F.floor(f(F.transform("ring", lambda v: F.get(v, axis))) / cell)
-    tiles = polygons.select("polygon_id", "ring", F.explode(F.sequence(low(0, F.array_min), low(0, F.array_max))).alias("_x"), low(1, F.array_min).alias("_y0"), low(1, F.array_max).alias("_y1"))
+    tiles = polygons.select("polygon_id", *carry, "ring", F.explode(F.sequence(low(0, F.array_min), low(0, F.array_max))).alias("_x"), low(1, F.array_min).alias("_y0"), low(1, F.array_max).alias("_y1"))
     tiles = tiles.withColumn("_y", F.explode(F.sequence("_y0", "_y1"))).drop("_y0", "_y1")
     rows = points.withColumn("_x", F.floor(F.col("lon") / cell)).withColumn("_y", F.floor(F.col("lat") / cell))
-    return rows.join(tiles, ["_x", "_y"]).filter(inside("lat", "lon", "ring")).drop("_x", "_y", "ring")
+    return rows.join(tiles, ["_x", "_y"]).filter(inside(F.col("lat"), F.col("lon"), F.col("ring"))).drop("_x", "_y", "ring")
+
+
+def in_any_polygon(points: DataFrame, polygons: DataFrame, id_: str, cell: float = 1.0) -> DataFrame:
+    """The points' rows with whether some polygon contains them."""
+    hits = points_in_polygons(points, polygons, cell).select(id_).distinct().withColumn("inside", F.lit(True))
+    return points.join(hits, id_, "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+
+
+def greatest_in_polygons(points: DataFrame, polygons: DataFrame, id_: str, value: str, cell: float = 1.0) -> DataFrame:
+    """(id, value): the greatest value of the containing polygons."""
+    return points_in_polygons(points, polygons, cell, (value,)).groupBy(id_).agg(F.max(value).alias(value))
 
 
 def first_polygon(hits: DataFrame, point_id: str) -> DataFrame:
@@ -93,11 +107,25 @@ def first_polygon(hits: DataFrame, point_id: str) -> DataFrame:
 
 
 def nearest(points: DataFrame, origins: DataFrame, within_km: float = 5.0) -> DataFrame:
-    """(id, origin_id, km) of the nearest origin within a distance, by grid cells around it; ties to the smaller id."""
-    cell = within_km / 55.0  # a degree of longitude has at least 55 km up to 60 degrees of latitude
-    p = points.select("id", "lat", "lon", F.floor(F.col("lat") / cell).alias("_y"), F.floor(F.col("lon") / cell).alias("_x"))
-    o = origins.select("origin_id", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.floor(F.col("lat") / cell).alias("_y0"), F.floor(F.col("lon") / cell).alias("_x0"))
-    o = o.withColumn("_y", F.explode(F.sequence(F.col("_y0") - 1, F.col("_y0") + 1))).withColumn("_x", F.explode(F.sequence(F.col("_x0") - 1, F.col("_x0") + 1)))
+    """(id, origin_id, km) of the nearest origin within a distance, by grid cells around it; ties to the smaller id.
+
+    A cell is as high as the distance, and as wide as it is at the latitude, in its
+    band or the next ones, that is nearest to a pole.
+    """
+    high = within_km / 110.0
+
+    def width(band: Column) -> Column:
+        most = F.least(F.greatest(F.abs((band + 2) * high), F.abs((band - 1) * high)), F.lit(89.9))
+        return F.least(F.lit(360.0), F.lit(within_km / 110.0) / F.cos(F.radians(most)))
+
+    band = F.floor(F.col("lat") / high)
+    p = points.select("id", "lat", "lon", band.alias("_y")).withColumn("_x", F.floor(F.col("lon") / width(F.col("_y"))))
+    o = origins.select("origin_id", "lat", "lon", F.explode(F.sequence(band - 1, band + 1)).alias("_y"))
+    # East of 180 degrees comes west of it: an origin stands for itself a turn away on either side.
+    turns = F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0))
+    o = o.withColumn("_turn", F.explode(turns)).withColumn("_lon", F.col("lon") + F.col("_turn")).filter(F.abs("_lon") <= 180 + width(F.col("_y")))
+    mid = F.floor(F.col("_lon") / width(F.col("_y")))
+    o = o.withColumn("_x", F.explode(F.sequence(mid - 1, mid + 1))).select("origin_id", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), "_y", "_x").distinct()
     km = S.haversine_km(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon"))
     near = p.join(o, ["_x", "_y"]).withColumn("km", km).filter(F.col("km") <= within_km)
-    return near.groupBy("id").agg(F.min(F.struct("km", "origin_id")).alias("n")).select("id", "n.origin_id", "n.km")
+    return near.groupBy("id").agg(F.min("km").alias("km"), F.min_by("origin_id", F.struct("km", "origin_id")).alias("origin_id")).select("id", "origin_id", "km")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -72,39 +72,88 @@ def report(left: DataFrame, right: DataFrame, keys: list[str]) -> Coverage:
     return Coverage(r["left_rows"], r["matched_rows"], r["out_rows"])
 
 
-def left_join(left: DataFrame, right: DataFrame, keys: list[str], min_coverage: float = 0.98, max_fan_out: float = 1.02, unique_right: bool = True) -> DataFrame:
-    """Left join with a unique right side, a least coverage and a bounded fan-out."""
+@dataclass(frozen=True)
+class Joined:
+    """A checked join's rows, its coverage, and a report of the left keys that found nothing."""
+
+    rows: DataFrame
+    coverage: Coverage
+    unmatched: DataFrame
+
+
+def _checked(how: str, left: DataFrame, right: DataFrame, keys: list[str], bounds: list[tuple[str, bool]], r: Coverage) -> Joined:
+    if broken := [text for text, holds in bounds if not holds]:
+        raise ContractError(f"{how} join on {keys}: {'; '.join(broken)}")
+    return Joined(left.join(right, keys, how), r, unmatched_keys(left, right, keys))
+
+
+def checked_left_join(left: DataFrame, right: DataFrame, keys: list[str], min_coverage: float = 0.98, max_fan_out: float = 1.02, unique_right: bool = True, max_unmatched: int | None = None) -> Joined:
+    """Left join with a unique right side, a least coverage, a bounded fan-out and a bound on unmatched rows."""
     left, right = harmonise(left, right, keys)
     if unique_right:
         assert_unique(right, keys)
     r = report(left, right, keys)
-    if r.share < min_coverage or r.fan_out > max_fan_out:
-        raise ContractError(f"coverage {r.share:.4f} (at least {min_coverage}), fan-out {r.fan_out:.4f} (at most {max_fan_out}) on {keys}")
-    return left.join(right, keys, "left")
+    lost = r.left_rows - r.matched_rows
+    bounds = [
+        (f"coverage {r.share:.4f}, at least {min_coverage}", r.share >= min_coverage),
+        (f"fan-out {r.fan_out:.4f}, at most {max_fan_out}", r.fan_out <= max_fan_out),
+        (f"{lost} unmatched rows, at most {max_unmatched}", max_unmatched is None or lost <= max_unmatched),
+    ]
+    return _checked("left", left, right, keys, bounds, r)
 
 
-def inner_join(left: DataFrame, right: DataFrame, keys: list[str], min_coverage: float = 0.90) -> DataFrame:
-    """Inner join, unique on both sides, with a least share of left rows matched."""
+def checked_inner_join(left: DataFrame, right: DataFrame, keys: list[str], min_coverage: float = 0.90, unique_left: bool = True) -> Joined:
+    """Inner join, unique on the right (and the left), with a least share of left rows matched."""
     left, right = harmonise(left, right, keys)
-    assert_unique(left.select(*keys), keys)
+    if unique_left:
+        assert_unique(left.select(*keys), keys)
     assert_unique(right, keys)
-    if (r := report(left, right, keys)).share < min_coverage:
-        raise ContractError(f"coverage {r.share:.4f} (at least {min_coverage}) on {keys}")
-    return left.join(right, keys, "inner")
+    r = report(left, right, keys)
+    return _checked("inner", left, right, keys, [(f"coverage {r.share:.4f}, at least {min_coverage}", r.share >= min_coverage)], r)
 
 
-def semi_join(left: DataFrame, right: DataFrame, keys: list[str], min_kept: float = 0.50) -> DataFrame:
+def checked_semi_join(left: DataFrame, right: DataFrame, keys: list[str], min_kept: float = 0.50) -> Joined:
     left, right = harmonise(left, right, keys)
-    if (r := report(left, right.select(*keys).distinct(), keys)).share < min_kept:
-        raise ContractError(f"kept {r.share:.4f} (at least {min_kept}) on {keys}")
-    return left.join(right, keys, "left_semi")
+    r = report(left, right.select(*keys).distinct(), keys)
+    return _checked("left_semi", left, right, keys, [(f"kept {r.share:.4f}, at least {min_kept}", r.share >= min_kept)], r)
 
 
-def anti_join(left: DataFrame, right: DataFrame, keys: list[str], max_matched: float = 1.0) -> DataFrame:
+def checked_anti_join(left: DataFrame, right: DataFrame, keys: list[str], max_matched: float = 0.50) -> Joined:
     left, right = harmonise(left, right, keys)
-    if (r := report(left, right.select(*keys).distinct(), keys)).share > max_matched:
-        raise ContractError(f"matched {r.share:.4f} (at most {max_matched}) on {keys}")
-    return left.join(right, keys, "left_anti")
+    r = report(left, right.select(*keys).distinct(), keys)
+    return _checked("left_anti", left, right, keys, [(f"matched {r.share:.4f}, at most {max_matched}", r.share <= max_matched)], r)
+
+
+def left_join(left: DataFrame, right: DataFrame, keys: list[str], **bounds) -> DataFrame:
+    return checked_left_join(left, right, keys, **bounds).rows
+
+
+def inner_join(left: DataFrame, right: DataFrame, keys: list[str], **bounds) -> DataFrame:
+    return checked_inner_join(left, right, keys, **bounds).rows
+
+
+def semi_join(left: DataFrame, right: DataFrame, keys: list[str], **bounds) -> DataFrame:
+    return checked_semi_join(left, right, keys, **bounds).rows
+
+
+def anti_join(left: DataFrame, right: DataFrame, keys: list[str], **bounds) -> DataFrame:
+    return checked_anti_join(left, right, keys, **bounds).rows
+
+
+def coverage_report(left: DataFrame, right: DataFrame, keys: list[str], warn=None) -> Coverage:
+    """Coverage before a join; a share of nothing is worth a warning, one above all is an error."""
+    r = report(left, right, keys)
+    if r.share > 1:
+        raise ContractError(f"{r.matched_rows} of {r.left_rows} rows matched on {keys}")
+    if warn is not None and r.left_rows and not r.matched_rows:
+        warn(f"no row of {r.left_rows} matched on {keys}")
+    return r
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], max_bytes: int = 64 << 20) -> DataFrame:
+    """Left join with a small table, broadcast only where Catalyst's own estimate of its size is within ``max_bytes``."""
+    size = int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return left.join(F.broadcast(right) if size <= max_bytes else right, keys, "left")
 
 
 def unmatched_keys(left: DataFrame, right: DataFrame, keys: list[str], limit: int = 5000) -> DataFrame:
@@ -125,11 +174,57 @@ def token_join(left: DataFrame, right: DataFrame, tokens: str, exact: list[str],
     return a.join(b, [*exact, "_token"]).select(*ids).distinct()
 
 
+def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
+    """(start from 0, size) of part ``i`` of a text cut into ``parts`` nearly equal ones, the longer ones last."""
+    base, longer = F.floor(length / parts).cast("int"), length % parts
+    return i * base + F.greatest(F.lit(0), i - (parts - longer)), base + (i >= parts - longer).cast("int")
+
+
+def edit_index(x: Column, most: int) -> Column:
+    """Keys of a text: of its ``most + 1`` parts one at least stands unchanged in any text that is ``most`` edits away."""
+    n = F.length(x)
+
+    def key(i: Column) -> Column:
+        start, size = _segment(n, i, most + 1)
+        return F.struct(n.alias("n"), i.alias("i"), F.substring(x, start + 1, size).alias("part"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(most)), key)
+
+
+def edit_probes(x: Column, most: int) -> Column:
+    """Keys under which a text finds the ones that ``edit_index`` lists within ``most`` edits.
+
+    A part moves by as many places as letters were put in before it; those and the
+    ones after it, by the difference of lengths, are ``most`` together.
+    """
+    shifts = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(s).alias("s")) for d in range(-most, most + 1) for s in range(-most, most + 1) if abs(s) + abs(d - s) <= most))
+
+    def key(shift: Column, i: Column) -> Column:
+        n = F.length(x) - shift["d"]
+        start, size = _segment(n, i, most + 1)
+        at = start + shift["s"]
+        fits = (n > 0) & (at >= 0) & (at + size <= F.length(x))
+        return F.when(fits, F.struct(n.alias("n"), i.alias("i"), F.substring(x, at + 1, size).alias("part")))
+
+    each = F.flatten(F.transform(shifts, lambda s: F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: key(s, i))))
+    return F.array_distinct(F.filter(each, lambda k: k.isNotNull()))
+
+
+def near_texts(left: DataFrame, right: DataFrame, text: tuple[str, str], exact: list[str], most: int = 2, least_length: int = 5) -> DataFrame:
+    """(exact, text of the left, text of the right): distinct texts 1 to ``most`` edits apart, found by shared parts."""
+    a = left.filter(F.length(text[0]) >= least_length).select(*exact, text[0]).distinct().withColumn("_k", F.explode(edit_index(F.col(text[0]), most)))
+    b = right.filter(F.length(text[1]) >= least_length - most).select(*exact, text[1]).distinct().withColumn("_k", F.explode(edit_probes(F.col(text[1]), most)))
+    near = F.levenshtein(text[0], text[1], most).between(1, most)
+    return a.join(b, [*exact, "_k"]).filter(near).select(*exact, *text).distinct()
+
+
 def edit_join(left: DataFrame, right: DataFrame, text: tuple[str, str], exact: list[str], most: int = 2, least_length: int = 5) -> DataFrame:
-    """Pairs with equal ``exact`` columns and texts 1 to ``most`` edits apart."""
-    a, b = (F.col(t) for t in text)
-    near = F.levenshtein(a, b, most).between(1, most) & (F.length(a) >= least_length) & (F.length(b) >= least_length)
-    return left.join(right, exact).filter(near)
+    """Pairs with equal ``exact`` columns and texts 1 to ``most`` edits apart, both of ``least_length``.
+
+    The texts are compared once each, however many rows have them.
+    """
+    near = near_texts(left, right, text, exact, most, least_length).filter(F.length(text[1]) >= least_length)
+    return left.join(near, [*exact, text[0]]).join(right, [*exact, text[1]])
 
 
 def ordered_pairs(df: DataFrame, key: str, source: str, *carry: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import joins as J
 
 # Confidence by evidence class 1 to 5.
 CONFIDENCE = (1.0, 0.9, 0.7, 0.5, 0.35)
@@ -27,21 +28,27 @@ def keyed(df: DataFrame, person: str, first: str, middle: str, last: str) -> Dat
 
 
 def candidates(roster: DataFrame, register: DataFrame) -> DataFrame:
-    """(id, npi, strategy, middle_match) by exact, initial, fuzzy and surname-token blocks, with the middle-initial veto."""
-    a = roster.select(F.col("person").alias("id"), F.col("first").alias("a_first"), F.col("middle").alias("a_middle"), F.col("last").alias("a_last"), F.col("initial").alias("a_initial"), F.col("tokens").alias("a_tokens"))
-    b = register.select(F.col("person").alias("npi"), F.col("first").alias("b_first"), F.col("middle").alias("b_middle"), F.col("last").alias("b_last"), F.col("initial").alias("b_initial"), F.col("tokens").alias("b_tokens"))
-    keep = lambda df, n: df.select("id", "npi", F.lit(n).alias("strategy"), "a_middle", "b_middle")
-    named = (F.col("a_first") != "") & (F.col("a_last") != "")
-    s1 = a.filter(named).join(b, (F.col("a_last") == F.col("b_last")) & (F.col("a_first") == F.col("b_first")))
-    s2 = a.filter(named).join(b, (F.col("a_last") == F.col("b_last")) & (F.col("a_initial") == F.col("b_initial")) & (F.col("a_first") != F.col("b_first")))
-    near = F.levenshtein("a_last", "b_last", 2).between(1, 2) & (F.length("a_last") >= 5)
-    s3 = a.filter(named).join(b, F.col("a_first") == F.col("b_first")).filter(near)
-    at, bt = a.filter(named).withColumn("token", F.explode("a_tokens")), b.withColumn("token", F.explode("b_tokens"))
-    s5 = at.join(bt, "token").filter((F.col("a_first") == F.col("b_first")) & (F.col("a_last") != F.col("b_last")))
-    every = keep(s1, 1).unionByName(keep(s2, 2)).unionByName(keep(s3, 3)).unionByName(keep(s5, 5))
-    both = F.col("a_middle").isNotNull() & F.col("b_middle").isNotNull()
-    every = every.filter(~(both & (F.col("a_middle") != F.col("b_middle"))))
-    return every.withColumn("middle_match", F.coalesce(F.col("a_middle") == F.col("b_middle"), F.lit(False)).cast("int")).drop("a_middle", "b_middle").distinct()
+    """(id, npi, strategy, middle_match) by exact, initial, fuzzy and surname-token blocks, with the middle-initial veto.
+
+    Exact and initial matches come from one join.  Fuzzy and token matches are sought
+    among distinct names and only then spread to the rows that bear them.  One row a
+    pair and strategy, for each pair of names that an id and an npi have.
+    """
+    side = lambda df, p, own: df.select(F.col("person").alias(own), *(F.col(c).alias(f"{p}_{c}") for c in ("middle", "last", "initial", "tokens")), F.col("first").alias(f"{p}_first"))
+    a = side(roster, "a", "id").filter((F.col("a_first") != "") & (F.col("a_last") != ""))
+    b = side(register, "b", "npi")
+    same = F.col("a_first") == F.col("b_first")
+    close = a.join(b, (F.col("a_last") == F.col("b_last")) & (F.col("a_initial") == F.col("b_initial"))).withColumn("strategy", F.when(same, 1).otherwise(2))
+    names = lambda df, p: df.groupBy(F.col(f"{p}_first").alias("first"), f"{p}_last").agg(F.first(f"{p}_tokens").alias("tokens"))
+    na, nb = names(a, "a"), names(b, "b")
+    fuzzy = J.near_texts(na, nb, ("a_last", "b_last"), ["first"]).withColumn("strategy", F.lit(3))
+    token = na.withColumn("token", F.explode("tokens")).drop("tokens").join(nb.withColumn("token", F.explode("tokens")).drop("tokens"), ["first", "token"])
+    token = token.filter("a_last <> b_last").select("first", "a_last", "b_last").distinct().withColumn("strategy", F.lit(5))
+    wide = fuzzy.unionByName(token).join(a.withColumnRenamed("a_first", "first"), ["first", "a_last"]).join(b.withColumnRenamed("b_first", "first"), ["first", "b_last"])
+    columns = ["id", "npi", "strategy", "a_middle", "b_middle"]
+    every = close.select(*columns).unionByName(wide.select(*columns))
+    agree = F.col("a_middle") == F.col("b_middle")
+    return every.filter(F.coalesce(agree, F.lit(True))).select("id", "npi", "strategy", F.coalesce(agree, F.lit(False)).cast("int").alias("middle_match"))
 
 
 def evidence_class(strategy: Column, middle_match: Column) -> Column:
@@ -61,16 +68,29 @@ def pool_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n_candidates"), F.min("best").alias("best_class"), F.sum((F.col("evidence_class") == F.col("best")).cast("long")).alias("n_at_best"))
 
 
-def resolve_best_class(rows: DataFrame) -> DataFrame:
+def best_pool(pairs: DataFrame) -> DataFrame:
+    """Per id of (id, npi, evidence_class): the best class, and the least and greatest npi there.
+
+    One aggregate with sums on the map side; several rows of a pair change nothing.
+    """
+    at = lambda c: F.when(F.col("evidence_class") == c, F.col("npi"))
+    classes = range(1, len(CONFIDENCE) + 1)
+    per = pairs.groupBy("id").agg(*(f(at(c)).alias(f"{n}{c}") for c in classes for n, f in (("low", F.min), ("high", F.max))))
+    best = F.coalesce(*(F.when(F.col(f"low{c}").isNotNull(), c) for c in classes))
+    return per.select("id", best.alias("best_class"), F.coalesce(*(F.col(f"low{c}") for c in classes)).alias("low"), F.coalesce(*(F.col(f"high{c}") for c in classes)).alias("high"))
+
+
+def resolve_best_class(pairs: DataFrame) -> DataFrame:
     """Accept an id only when exactly one candidate stands at its best class."""
-    ok = rows.join(pool_stats(rows), "id").filter((F.col("evidence_class") == F.col("best_class")) & (F.col("n_at_best") == 1))
-    how = F.when(F.col("evidence_class") == 1, "unique_best_class_with_middle").otherwise("unique_best_class")
-    score = F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.col("evidence_class").cast("int"))
-    return ok.select("id", "npi", "evidence_class", how.alias("resolution"), score.alias("confidence"))
+    ok = best_pool(pairs).filter("low = high")
+    how = F.when(F.col("best_class") == 1, "unique_best_class_with_middle").otherwise("unique_best_class")
+    score = F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.col("best_class"))
+    return ok.select("id", F.col("low").alias("npi"), F.col("best_class").alias("evidence_class"), how.alias("resolution"), score.alias("confidence"))
 
 
-def quarantined(rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    return rows.select("id").distinct().join(resolved, "id", "left_anti")
+def quarantined(pairs: DataFrame) -> DataFrame:
+    """Ids with several candidates at their best class."""
+    return best_pool(pairs).filter("low <> high").select("id")
 
 
 def greedy_allocation(resolved: DataFrame, score: str = "confidence") -> DataFrame:
@@ -96,24 +116,12 @@ def own_evidence(scored: DataFrame, floors: dict[str, float] | None = None, marg
     return rows.withColumn("decision", decision).select("id", "npi", "score", "evidence", "n", "decision")
 
 
-def taxonomy_class(x: Column) -> Column:
-    t = F.lower(F.trim(x))
-    return F.when(t.isin("midwife", "nursing"), t)
-
-
-def linkage_tier(npi: Column, evidence: Column, taxonomy: Column, demoted: Column, status: Column) -> Column:
-    """Seven exclusive tiers; an unknown taxonomy never counts as primary."""
-    has = npi.isNotNull() & (F.trim(npi.cast("string")) != "")
-    tax = taxonomy_class(taxonomy)
-    return (
-        F.when(has & (evidence == 5), "sensitivity_name_component")
-        .when(has & (evidence == 4), "sensitivity_fuzzy")
-        .when(has & (tax == "nursing"), "sensitivity_nursing")
-        .when(has & (tax == "midwife"), "primary_midwifery")
-        .when(has, "sensitivity_unknown_taxonomy")
-        .when(F.coalesce(demoted, F.lit(False)) | F.coalesce(status.startswith("ambiguous"), F.lit(False)), "quarantined")
-        .otherwise("unmatched")
-    )
+def linkage_tier(linked: Column, ladder: list[tuple[Column, str]], held_back: Column, otherwise: str = "other") -> Column:
+    """Exclusive tiers: the first rung of the ladder that a linked row fits, else quarantined or unmatched."""
+    out = F.when(F.lit(False), "")
+    for fits, label in ladder:
+        out = out.when(linked & F.coalesce(fits, F.lit(False)), label)
+    return out.when(linked, otherwise).when(F.coalesce(held_back, F.lit(False)), "quarantined").otherwise("unmatched")
 
 
 def absence_demotion(resolved: DataFrame, vetoed: DataFrame, roster: DataFrame) -> DataFrame:
@@ -156,6 +164,12 @@ def former_names(df: DataFrame, id_: str, last: str, former: str) -> DataFrame:
     return rows.select(id_, "surname", F.when(F.col("c") & F.col("f"), "both").when(F.col("c"), "current").otherwise("former").alias("kind"))
 
 
+def joined_names(names: DataFrame, id_: str) -> DataFrame:
+    """One row a person from (id, surname, kind): surnames and kinds, sorted and joined."""
+    rows = names.groupBy(id_).agg(F.array_sort(F.collect_set(F.struct("surname", "kind"))).alias("n"))
+    return rows.select(id_, F.array_join(F.transform("n", lambda x: x["surname"]), "|").alias("surnames"), F.array_join(F.transform("n", lambda x: x["kind"]), "|").alias("kinds"))
+
+
 def latest_attribute(df: DataFrame, id_: str, value: str, order: str) -> DataFrame:
     """The newest non-null value of each entity, ties to the smaller value."""
     rows = df.filter(F.col(value).isNotNull())

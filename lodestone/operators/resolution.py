@@ -8,10 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def key_candidates(left: DataFrame, right: DataFrame, families: dict[str, list[str]], id_: str, org: str) -> DataFrame:
-    """(id, org, family) for each key family; null keys never match."""
-    one = lambda name, keys: left.join(right, keys).select(id_, org, F.lit(name).alias("family"))
-    return reduce(DataFrame.unionByName, (one(n, k) for n, k in families.items())).distinct()
+def key_candidates(left: DataFrame, right: DataFrame, families: dict[str, list[str]], id_: str, org: str, most: int | None = None) -> DataFrame:
+    """(id, org, family) for each key family; null keys never match.
+
+    The right side is one row a key and organization before the join; with ``most``,
+    keys of more organizations are left out there, before they can multiply.
+    """
+
+    def one(name: str, keys: list[str]) -> DataFrame:
+        orgs = right.select(org, *keys).distinct()
+        if most is not None:
+            orgs = orgs.join(orgs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most).drop("_n"), keys)
+        return left.select(id_, *keys).distinct().join(orgs, keys).select(id_, org, F.lit(name).alias("family"))
+
+    return reduce(DataFrame.unionByName, (one(n, k) for n, k in families.items()))
 
 
 def cap_promiscuous(pairs: DataFrame, id_: str, most: int = 10) -> DataFrame:
@@ -31,17 +41,25 @@ def multi_key(pairs: DataFrame, id_: str, org: str, least: int = 2) -> DataFrame
     return agreed.groupBy(id_).agg(F.count(F.lit(1)).alias("n"), F.min(org).alias(org), F.min("families").alias("families")).filter("n = 1").select(id_, org, "families")
 
 
-def resolve_tiers(pairs: DataFrame, id_: str, org: str, strong: list[str], weak: list[str], excluded: DataFrame | None = None) -> DataFrame:
-    """(id, org, tier): unique strong key, agreement of keys, exclusion of classes, weak fallback; each on the residual."""
-    out = unique_key(pairs, id_, org, strong).withColumn("tier", F.lit("unique_strong"))
-    rest = pairs.join(out, id_, "left_anti")
-    more = multi_key(rest, id_, org).select(id_, org, F.lit("multi_key").alias("tier"))
-    out, rest = out.unionByName(more), rest.join(more, id_, "left_anti")
-    if excluded is not None:
-        kept = rest.join(excluded, org, "left_anti")
-        more = unique_key(kept, id_, org, strong).select(id_, org, F.lit("class_exclusion").alias("tier"))
-        out, rest = out.unionByName(more), rest.join(more, id_, "left_anti")
-    return out.unionByName(unique_key(rest, id_, org, weak).select(id_, org, F.lit("weak").alias("tier")))
+def resolve_tiers(pairs: DataFrame, id_: str, org: str, strong: list[str], weak: list[str], excluded: DataFrame | None = None, agreed: DataFrame | None = None) -> DataFrame:
+    """(id, org, tier): unique strong key, agreement of keys, exclusion of classes, a second source, weak fallback; the first that decides.
+
+    ``excluded`` has the organizations of unfit classes, ``agreed`` (id, org) pairs
+    that another source supports.  All tiers come from one aggregate a pair and one an
+    id: an organization is the only one where the least equals the greatest.
+    """
+    per = pairs.groupBy(id_, org).agg(F.count_distinct("family").alias("_families"), F.bool_or(F.col("family").isin(*strong)).alias("_strong"), F.bool_or(F.col("family").isin(*weak)).alias("_weak"))
+    per = per.withColumn("_fit", F.lit(True)) if excluded is None else per.join(excluded.select(org).distinct().withColumn("_out", F.lit(True)), org, "left").withColumn("_fit", F.col("_out").isNull())
+    per = per.withColumn("_also", F.lit(False)) if agreed is None else per.join(agreed.select(id_, org).distinct().withColumn("_both", F.lit(True)), [id_, org], "left").withColumn("_also", F.col("_both").isNotNull())
+    rules = {"unique_strong": F.col("_strong"), "multi_key": F.col("_families") >= 2, "class_exclusion": F.col("_strong") & F.col("_fit"), "cross_source": F.col("_also"), "weak": F.col("_weak")}
+    if excluded is None:
+        del rules["class_exclusion"]
+    if agreed is None:
+        del rules["cross_source"]
+    out = per.groupBy(id_).agg(*(f(F.when(c, F.col(org))).alias(f"{n}_{t}") for t, c in rules.items() for n, f in (("_low", F.min), ("_high", F.max))))
+    sole = {t: F.col(f"_low_{t}") == F.col(f"_high_{t}") for t in rules}
+    tier = F.coalesce(*(F.when(ok, F.lit(t)) for t, ok in sole.items()))
+    return out.select(id_, F.coalesce(*(F.when(ok, F.col(f"_low_{t}")) for t, ok in sole.items())).alias(org), tier.alias("tier")).filter("tier IS NOT NULL")
 
 
 def address_status(left: DataFrame, right: DataFrame, keys: list[str], id_: str, org: str) -> DataFrame:

@@ -66,14 +66,44 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(math.exp(p) for k in range(max(0, r + s - n), min(r, s) + 1) if (p := log(k)) <= at + 1e-7))
 
 
+def counts_before(df: DataFrame, value: str, groups: list[str] | None = None, ranges: int = 64) -> DataFrame:
+    """(groups, value, n, before): rows of each distinct value, and rows of smaller ones in its group.
+
+    Values are dealt to ranges at approximate quantiles; counts are summed for whole
+    ranges (a few rows) and within each range, so no task has a whole column.
+    """
+    groups = groups or []
+    per = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+    cuts = per.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))  # one row
+    per = per.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
+    total = per.groupBy(*groups, "_range").agg(F.sum("n").alias("_rows"))
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select(*groups, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*groups, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return per.join(total, [*groups, "_range"]).select(*groups, value, "n", (F.col("_base") + F.col("_in")).alias("before"))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks for ties, from counts of distinct values."""
-    def ranks(c: str) -> DataFrame:
-        per = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return per.select(c, (below + (F.col("n") + 1) / 2).alias(f"_r_{c}"))
-
-    return df.join(ranks(x), x).join(ranks(y), y).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("rho"))
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
+    ranks = lambda c: counts_before(both, c).select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"_r_{c}"))
+    return both.join(ranks(x), x).join(ranks(y), y).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("rho"))
+
+
+def quantiles(df: DataFrame, value: str, points: dict[str, float], groups: list[str]) -> DataFrame:
+    """Exact quantiles by group, interpolated, from counts of distinct values in ranges."""
+    per = counts_before(df, value, groups)
+    size = per.groupBy(*groups).agg(F.sum("n").alias("_size"))
+    per = per.join(size, groups)
+    out = []
+    for name, q in points.items():
+        at = (F.col("_size") - 1) * q
+        has = lambda p: F.max(F.when((F.col("before") <= p) & (p < F.col("before") + F.col("n")), F.col(value)))
+        low, high = has(F.floor(at)), has(F.ceil(at))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    return per.groupBy(*groups).agg(*out)
 
 
 def rate_with_floor(k: Column, n: Column, least: float, per: float = 1000.0) -> Column:

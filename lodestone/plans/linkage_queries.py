@@ -1,4 +1,8 @@
-"""Identity resolution over ``part`` as two registers: even keys are the roster, odd ones the register."""
+"""Identity resolution over ``part`` as two registers: even keys are the roster, odd ones the register.
+
+Some parts' names are written with a letter or a given name changed, so that fuzzy and
+initial matches occur.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,10 @@ from .registry import query
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     last = F.concat_ws("-", F.substring_index("p_name", " ", -1), "p_type")
-    return p.select("p_partkey", F.substring_index("p_name", " ", 1).alias("first"), F.substring(F.regexp_replace("p_brand", "[^0-9]", ""), 1, 1).alias("middle"), last.alias("last"), "p_type", "p_size")
+    last = F.when(F.col("p_size") <= 10, F.concat(F.left(last, F.length(last) - 1), F.lit("x"))).otherwise(last)
+    first = F.substring_index("p_name", " ", 1)
+    first = F.when(F.col("p_size").between(11, 15), F.concat(F.left(first, F.lit(1)), F.lit("ane"))).otherwise(first)
+    return p.select("p_partkey", first.alias("first"), F.substring(F.regexp_replace("p_brand", "[^0-9]", ""), 1, 1).alias("middle"), last.alias("last"), "p_type", "p_size")
 
 
 def registers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -27,9 +34,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PEOPLE = """
-WITH people AS (
-  SELECT p_partkey AS person, upper(split_part(p_name, ' ', 1)) AS first, nullif(substr(regexp_replace(p_brand, '[^0-9]', '', 'g'), 1, 1), '') AS middle,
-         upper(split_part(p_name, ' ', -1) || '-' || p_type) AS last, p_type, p_size FROM part),
+WITH plain AS (SELECT *, split_part(p_name, ' ', 1) AS f, split_part(p_name, ' ', -1) || '-' || p_type AS l FROM part),
+people AS (
+  SELECT p_partkey AS person, upper(CASE WHEN p_size BETWEEN 11 AND 15 THEN substr(f, 1, 1) || 'ane' ELSE f END) AS first, nullif(substr(regexp_replace(p_brand, '[^0-9]', '', 'g'), 1, 1), '') AS middle,
+         upper(CASE WHEN p_size <= 10 THEN substr(l, 1, length(l) - 1) || 'x' ELSE l END) AS last, p_type, p_size FROM plain),
 k AS (SELECT *, substr(first, 1, 1) AS initial, list_distinct(list_filter(string_split(regexp_replace(last, '[^A-Z'']+', ' ', 'g'), ' '), lambda t: length(t) >= 4)) AS tokens FROM people),
 a AS (SELECT person AS id, first, middle, last, initial, tokens FROM k WHERE person % 2 = 0 AND first <> '' AND last <> ''),
 b AS (SELECT person AS npi, first, middle, last, initial, tokens FROM k WHERE person % 2 = 1),
@@ -75,13 +83,12 @@ def _(spark, sf_dir):
 
 @query("L09_resolve_best_class", PEOPLE + "SELECT * FROM r")
 def resolved(spark, sf_dir):
-    return L.resolve_best_class(L.per_npi(pairs(spark, sf_dir)))
+    return L.resolve_best_class(pairs(spark, sf_dir))
 
 
 @query("L10_quarantine", PEOPLE + "SELECT DISTINCT id FROM n WHERE id NOT IN (SELECT id FROM r)")
 def _(spark, sf_dir):
-    rows = L.per_npi(pairs(spark, sf_dir))
-    return L.quarantined(rows, L.resolve_best_class(rows))
+    return L.quarantined(pairs(spark, sf_dir))
 
 
 @query("L11_L12_greedy_allocation", PEOPLE + "SELECT *, row_number() OVER (PARTITION BY npi ORDER BY confidence DESC, id) = 1 AS kept FROM r")
@@ -113,23 +120,25 @@ def _(spark, sf_dir):
 
 
 _TIER = PEOPLE + """
-SELECT i.id, CASE WHEN r.npi IS NOT NULL AND r.evidence_class = 5 THEN 'sensitivity_name_component' WHEN r.npi IS NOT NULL AND r.evidence_class = 4 THEN 'sensitivity_fuzzy'
-   WHEN r.npi IS NOT NULL AND t.tax = 'nursing' THEN 'sensitivity_nursing' WHEN r.npi IS NOT NULL AND t.tax = 'midwife' THEN 'primary_midwifery'
-   WHEN r.npi IS NOT NULL THEN 'sensitivity_unknown_taxonomy' WHEN q.id IS NOT NULL THEN 'quarantined' ELSE 'unmatched' END AS tier
-FROM (SELECT person AS id FROM people WHERE person % 2 = 0) i LEFT JOIN r USING (id) LEFT JOIN (SELECT DISTINCT id FROM n) q USING (id)
-LEFT JOIN (SELECT person, CASE WHEN p_size <= 20 THEN 'midwife' WHEN p_size <= 40 THEN 'nursing' END AS tax FROM people) t ON t.person = r.npi
+SELECT i.id, CASE WHEN r.npi IS NOT NULL AND r.evidence_class = 5 THEN 'name_component' WHEN r.npi IS NOT NULL AND r.evidence_class = 4 THEN 'fuzzy'
+   WHEN r.npi IS NOT NULL AND t.kind = 'second' THEN 'second_class' WHEN r.npi IS NOT NULL AND t.kind = 'first' THEN 'primary'
+   WHEN r.npi IS NOT NULL THEN 'unknown_class' WHEN q.id IS NOT NULL THEN 'quarantined' ELSE 'unmatched' END AS tier,
+  CASE WHEN r.npi IS NOT NULL THEN 'one candidate at class ' || r.evidence_class WHEN q.id IS NOT NULL THEN 'several candidates at class ' || q.best_class ELSE 'no candidate' END AS reason
+FROM (SELECT person AS id FROM people WHERE person % 2 = 0) i LEFT JOIN r USING (id) LEFT JOIN st q USING (id)
+LEFT JOIN (SELECT person, CASE WHEN p_size <= 20 THEN 'first' WHEN p_size <= 40 THEN 'second' END AS kind FROM people) t ON t.person = r.npi
 """
 
 
 @query("L18_L22_linkage_tier", _TIER)
 def _(spark, sf_dir):
     roster, _ = registers(spark, sf_dir)
-    rows = L.per_npi(pairs(spark, sf_dir))
-    best = L.resolve_best_class(rows)
-    tax = people(spark, sf_dir).select(F.col("p_partkey").alias("npi"), F.when(F.col("p_size") <= 20, "midwife").when(F.col("p_size") <= 40, "nursing").alias("tax"))
-    out = roster.select(F.col("person").alias("id")).join(best, "id", "left").join(tax, "npi", "left").join(rows.select("id").distinct().withColumn("some", F.lit(True)), "id", "left")
-    status = F.when(F.col("some") & F.col("npi").isNull(), "ambiguous_pool")
-    return out.select("id", L.linkage_tier(F.col("npi"), F.col("evidence_class"), F.col("tax"), F.lit(False), status).alias("tier"))
+    pool = L.best_pool(pairs(spark, sf_dir)).withColumn("npi", F.when(F.col("low") == F.col("high"), F.col("low")))
+    kind = people(spark, sf_dir).select(F.col("p_partkey").alias("npi"), F.when(F.col("p_size") <= 20, "first").when(F.col("p_size") <= 40, "second").alias("kind"))
+    out = roster.select(F.col("person").alias("id")).join(pool, "id", "left").join(kind, "npi", "left")
+    linked, best = F.col("npi").isNotNull(), F.col("best_class")
+    ladder = [(best == 5, "name_component"), (best == 4, "fuzzy"), (F.col("kind") == "second", "second_class"), (F.col("kind") == "first", "primary")]
+    said = F.when(linked, F.concat(F.lit("one candidate at class "), best.cast("string"))).when(best.isNotNull(), F.concat(F.lit("several candidates at class "), best.cast("string"))).otherwise("no candidate")
+    return out.select("id", L.linkage_tier(linked, ladder, best.isNotNull(), "unknown_class").alias("tier"), said.alias("reason"))
 
 
 @query("L25_key_cardinality", "SELECT p_brand, p_size, count(DISTINCT p_partkey) AS n FROM part GROUP BY p_brand, p_size")
@@ -145,7 +154,7 @@ SELECT * FROM a UNION ALL SELECT * FROM b
 """
 
 
-@query("L27_L35_waterfall", _WATER)
+@query("L27_waterfall", _WATER)
 def _(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     left = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", "p_size", "p_name")
@@ -172,13 +181,18 @@ SELECT p_partkey, surname, CASE WHEN bool_or(cur) AND bool_or(frm) THEN 'both' W
 """
 
 
-@query("L30_L31_former_names", _FORMER)
-def _(spark, sf_dir):
+@query("L30_former_names", _FORMER)
+def former(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     last = F.element_at(F.split("p_name", " "), 2)
     return L.former_names(p.select("p_partkey", last.alias("last"), F.concat_ws(";", last, "p_type").alias("former")), "p_partkey", "last", "former")
 
 
+@query("L31_former_names_joined", _FORMER.replace("SELECT p_partkey, surname, CASE", ", g AS (SELECT p_partkey, surname, CASE") + ") SELECT p_partkey, string_agg(surname, '|' ORDER BY surname) AS surnames, string_agg(kind, '|' ORDER BY surname) AS kinds FROM g GROUP BY 1")
+def _(spark, sf_dir):
+    return L.joined_names(former(spark, sf_dir), "p_partkey")
+
+
 @query("L20_latest_attribute", "SELECT user_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) AS n FROM events WHERE event_type IS NOT NULL) WHERE n = 1")
 def _(spark, sf_dir):
     return L.latest_attribute(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "event_type", "ts")
@@ -248,17 +262,57 @@ for _name, _args in {"J10_J14_coverage_orders_customer": ("orders", "customer",
 def _(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("k"))
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), "c_name")
-    return J.left_join(o, c, ["k"], min_coverage=0.0).select("o_orderkey", "c_name")
+    return J.left_join(o, c, ["k"]).select("o_orderkey", "c_name")
 
 
-@query("J03_full_outer_counts", "SELECT k, coalesce(a, 0) AS before, coalesce(b, 0) AS after FROM (SELECT c_custkey AS k, 1::BIGINT AS a FROM customer WHERE c_custkey % 3 <> 0) FULL JOIN (SELECT o_custkey AS k, count(*) AS b FROM orders GROUP BY 1) USING (k)")
+@query("J10_checked_left", "SELECT o_orderkey, c_name, n_name, CAST(c_custkey IS NULL AS INTEGER) AS unmatched FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey")
 def _(spark, sf_dir):
-    a = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.lit(1).cast("long").alias("a"))
-    b = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("b"))
-    return a.join(b, "k", "full").select("k", F.coalesce("a", F.lit(0)).alias("before"), F.coalesce("b", F.lit(0)).alias("after"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("k"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), "c_name", F.col("c_nationkey").alias("n"))
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("n"), "n_name")
+    out = J.checked_left_join(J.checked_left_join(o, c, ["k"], max_unmatched=0).rows, n, ["n"])
+    return out.rows.select("o_orderkey", "c_name", "n_name", F.col("c_name").isNull().cast("int").alias("unmatched"))
+
+
+_SMALL = "p_size > 20"
+
+
+@query("J10_unmatched_report", f"SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE {_SMALL}) ORDER BY 1 LIMIT 5000")
+def _(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("k"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").filter(_SMALL).select(F.col("p_partkey").alias("k"))
+    return J.checked_left_join(li, p, ["k"], min_coverage=0.1).unmatched
+
+
+@query("J11_checked_inner", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def _(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.col("s_nationkey").alias("k"))
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), "n_name")
+    return J.checked_inner_join(s, n, ["k"], unique_left=False).rows.select("s_suppkey", "n_name")
+
+
+@query("J12_checked_semi", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE {_SMALL})")
+def _(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("k"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").filter(_SMALL).select(F.col("p_partkey").alias("k"))
+    return J.checked_semi_join(li, p, ["k"], min_kept=0.3).rows.select("l_orderkey", "l_linenumber")
+
+
+@query("J13_checked_anti", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 20)")
+def _(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("k"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size <= 20").select(F.col("p_partkey").alias("k"))
+    return J.checked_anti_join(li, p, ["k"], max_matched=0.6).rows.select("l_orderkey", "l_linenumber")
+
+
+@query("J22_lookup", "SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def _(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.col("s_nationkey").alias("k"))
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), "n_name")
+    return J.lookup(s, n, ["k"]).select("s_suppkey", "n_name")
 
 
-@query("J03_full_outer_counts_whole", "SELECT k, coalesce(a, 0) AS before, coalesce(b, 0) AS after FROM (SELECT c_custkey AS k, 1::BIGINT AS a FROM customer) FULL JOIN (SELECT o_custkey AS k, count(*) AS b FROM orders GROUP BY 1) USING (k)")
+@query("J03_full_outer_counts", "SELECT k, coalesce(a, 0) AS before, coalesce(b, 0) AS after FROM (SELECT c_custkey AS k, 1::BIGINT AS a FROM customer) FULL JOIN (SELECT o_custkey AS k, count(*) AS b FROM orders GROUP BY 1) USING (k)")
 def _(spark, sf_dir):
     a = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.lit(1).cast("long").alias("a"))
     b = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("b"))
@@ -267,12 +321,13 @@ def _(spark, sf_dir):
 
 @query("J04_J12_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def _(spark, sf_dir):
-    return J.semi_join(*_cust(spark, sf_dir), ["c_custkey"], min_kept=0.0)
+    return J.semi_join(*_cust(spark, sf_dir), ["c_custkey"])
 
 
-@query("J05_J13_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("J05_anti", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 30)")
 def _(spark, sf_dir):
-    return J.anti_join(*_cust(spark, sf_dir), ["c_custkey"])
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    return J.anti_join(p, spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity >= 30").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"], max_matched=1.0)
 
 
 @query("J06_membership", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has_order FROM customer")

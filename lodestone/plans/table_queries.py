@@ -277,14 +277,7 @@ def _(spark, sf_dir):
     return O.resolve_tiers(org_pairs(spark, sf_dir), "id", "org", ["brand_size"], ["size"], bad)
 
 
-@query("O10_address_status", "SELECT c.c_custkey AS id, count(DISTINCT s_suppkey) AS n, CASE WHEN count(DISTINCT s_suppkey) = 1 THEN min(s_suppkey) END AS org, CASE count(DISTINCT s_suppkey) WHEN 0 THEN 'no_match' WHEN 1 THEN 'unique_exact' ELSE 'multiple_plausible' END AS status, coalesce(string_agg(DISTINCT s_suppkey, '|' ORDER BY s_suppkey), '') AS orgs FROM customer c LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) s ON s_nationkey = c_nationkey GROUP BY 1")
-def _(spark, sf_dir):
-    left = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("k"))
-    right = t(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("org"), F.col("s_nationkey").alias("k"))
-    return O.address_status(left, right, ["k"], "id", "org")
-
-
-@query("O10_address_status_whole", "SELECT c.c_custkey AS id, count(DISTINCT s_suppkey) AS n, CASE WHEN count(DISTINCT s_suppkey) = 1 THEN min(s_suppkey) END AS org, CASE count(DISTINCT s_suppkey) WHEN 0 THEN 'no_match' WHEN 1 THEN 'unique_exact' ELSE 'multiple_plausible' END AS status, coalesce(string_agg(DISTINCT s_suppkey, '|' ORDER BY s_suppkey), '') AS orgs FROM customer c LEFT JOIN supplier s ON s_nationkey = c_nationkey GROUP BY 1")
+@query("O10_address_status", "SELECT c.c_custkey AS id, count(DISTINCT s_suppkey) AS n, CASE WHEN count(DISTINCT s_suppkey) = 1 THEN min(s_suppkey) END AS org, CASE count(DISTINCT s_suppkey) WHEN 0 THEN 'no_match' WHEN 1 THEN 'unique_exact' ELSE 'multiple_plausible' END AS status, coalesce(string_agg(DISTINCT s_suppkey, '|' ORDER BY s_suppkey), '') AS orgs FROM customer c LEFT JOIN supplier s ON s_nationkey = c_nationkey GROUP BY 1")
 def _(spark, sf_dir):
     left = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("k"))
     right = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("org"), F.col("s_nationkey").alias("k"))
@@ -305,14 +298,6 @@ def _(spark, sf_dir):
 
 
 @query("O17_rollup_arms", """
-WITH a AS (SELECT l_suppkey, l_returnflag AS arm, l_shipdate, l_partkey, 'P' || l_partkey AS name FROM lineitem WHERE l_partkey < 50)
-SELECT l_suppkey, first(name ORDER BY length(name) DESC, name) AS name, array_to_string(list_sort(list(DISTINCT CAST(l_partkey AS VARCHAR))), '|') AS ids, min(l_shipdate) AS least_evidence, max(l_shipdate) AS most_evidence, count(DISTINCT arm) AS n_arms FROM a GROUP BY 1""")
-def _(spark, sf_dir):
-    a = t(spark, sf_dir, "lineitem").filter("l_partkey < 50").select("l_suppkey", F.col("l_returnflag").alias("arm"), "l_shipdate", "l_partkey", F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name"))
-    return O.rollup_arms(a, ["l_suppkey"], "name", "l_partkey", "l_shipdate")
-
-
-@query("O17_rollup_arms_whole", """
 WITH a AS (SELECT l_suppkey, l_returnflag AS arm, l_shipdate, l_partkey, 'P' || l_partkey AS name FROM lineitem)
 SELECT l_suppkey, first(name ORDER BY length(name) DESC, name) AS name, array_to_string(list_sort(list(DISTINCT CAST(l_partkey AS VARCHAR))), '|') AS ids, min(l_shipdate) AS least_evidence, max(l_shipdate) AS most_evidence, count(DISTINCT arm) AS n_arms FROM a GROUP BY 1""")
 def _(spark, sf_dir):
@@ -422,13 +407,25 @@ def _(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", place.alias("place"), source.alias("source"))
 
 
-@query("G01_geocode_conflicts")
+_KM = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
+_CONFLICT = """
+WITH e AS (SELECT event_id, CAST(user_id AS BIGINT) * 40 + event_id // 3 % 40 AS key, 40 + (event_id * 7919 % 97) * 0.00012 AS lat, -80 + (event_id * 104729 % 89) * 0.00012 AS lon, CAST(event_id % 4 AS DOUBLE) AS quality FROM events),
+s AS (SELECT a.key, max({km}) AS spread FROM e a JOIN e b USING (key) GROUP BY 1),
+k AS (SELECT key, count(*) AS n, max(quality) AS top, min([lat, lon]) AS first FROM e GROUP BY 1),
+q AS (SELECT e.key, count(*) AS n_top, min(e.lat) AS lat, min(e.lon) AS lon FROM e JOIN k ON e.key = k.key AND quality = top GROUP BY 1),
+r AS (SELECT k.*, n_top, q.lat AS qlat, q.lon AS qlon, CASE WHEN n = 1 THEN 'unique' WHEN spread <= 1 THEN 'within_tolerance' WHEN n_top = 1 THEN 'by_quality' ELSE 'refused' END AS status FROM k JOIN s USING (key) JOIN q USING (key))
+SELECT key, n, status, round(CASE status WHEN 'refused' THEN NULL WHEN 'by_quality' THEN qlat ELSE first[1] END, 6) AS lat, round(CASE status WHEN 'refused' THEN NULL WHEN 'by_quality' THEN qlon ELSE first[2] END, 6) AS lon FROM r""".replace("{km}", _KM.format(a="a", b="b"))
+
+
+@query("G01_geocode_conflicts", _CONFLICT)
 def _(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select((F.col("user_id")).alias("key"), (40 + F.col("value") / 100).alias("lat"), (-80 + F.col("user_id") / 50).alias("lon"), (F.col("event_id") % 5).cast("double").alias("quality"))
-    return G.resolve_conflicts(e, "key")
+    i = F.col("event_id")
+    key = F.col("user_id").cast("long") * 40 + F.expr("event_id div 3") % 40
+    e = t(spark, sf_dir, "events").select(key.alias("key"), (40 + (i * 7919 % 97) * 0.00012).alias("lat"), (-80 + (i * 104729 % 89) * 0.00012).alias("lon"), (i % 4).cast("double").alias("quality"))
+    return G.resolve_conflicts(e, "key").select("key", "n", "status", r("lat"), r("lon"))
 
 
-@query("J25_J27_points_in_polygons", "SELECT c_custkey, CAST(n_nationkey AS BIGINT) AS polygon_id FROM (SELECT c_custkey, c_acctbal / 1000.0 AS lon, (c_custkey % 97) / 10.0 AS lat FROM customer) JOIN nation ON lon >= n_nationkey % 5 * 2.03 AND lon < n_nationkey % 5 * 2.03 + 2.5 AND lat >= n_regionkey * 1.77 AND lat < n_regionkey * 1.77 + 1.5")
+@query("J25_G07_points_in_polygons", "SELECT c_custkey, CAST(n_nationkey AS BIGINT) AS polygon_id FROM (SELECT c_custkey, c_acctbal / 1000.0 AS lon, (c_custkey % 97) / 10.0 AS lat FROM customer) JOIN nation ON lon >= n_nationkey % 5 * 2.03 AND lon < n_nationkey % 5 * 2.03 + 2.5 AND lat >= n_regionkey * 1.77 AND lat < n_regionkey * 1.77 + 1.5")
 def _(spark, sf_dir):
     points = t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 1000.0).alias("lon"), ((F.col("c_custkey") % 97) / 10.0).alias("lat"))
     x, y = F.col("n_nationkey") % 5 * F.lit(2.03), F.col("n_regionkey") * F.lit(1.77)
@@ -437,11 +434,19 @@ def _(spark, sf_dir):
     return G.points_in_polygons(points, polygons).select("c_custkey", "polygon_id")
 
 
-@query("J28_nearest")
+_NEAR = """
+WITH p AS (SELECT c_custkey AS id, c_acctbal / 400.0 + 47 AS lat, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 97) / 97.0 - 180 ELSE (c_custkey % 97) / 97.0 * 0.7 + 179.3 END AS lon FROM customer),
+o AS (SELECT s_suppkey AS origin_id, s_acctbal / 400.0 + 47 AS lat, (s_suppkey % 89) / 89.0 - 180 AS lon FROM supplier),
+d AS (SELECT id, origin_id, {km} AS km FROM p a, o b)
+SELECT id, origin_id, round(km, 6) AS km FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, origin_id) AS n FROM d WHERE km <= 20) WHERE n = 1""".replace("{km}", _KM.format(a="a", b="b"))
+
+
+@query("J28_nearest", _NEAR)
 def _(spark, sf_dir):
-    pts = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 10000.0 + 40).alias("lat"), ((F.col("c_custkey") % 97) / 97.0 - 80).alias("lon"))
-    org = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("origin_id"), (F.col("s_acctbal") / 10000.0 + 40).alias("lat"), ((F.col("s_suppkey") % 89) / 89.0 - 80).alias("lon"))
-    return G.nearest(pts, org)
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    pts = t(spark, sf_dir, "customer").select(k.alias("id"), (F.col("c_acctbal") / 400.0 + 47).alias("lat"), F.when(k % 2 == 0, (k % 97) / 97.0 - 180).otherwise((k % 97) / 97.0 * 0.7 + 179.3).alias("lon"))
+    org = t(spark, sf_dir, "supplier").select(s.alias("origin_id"), (F.col("s_acctbal") / 400.0 + 47).alias("lat"), ((s % 89) / 89.0 - 180).alias("lon"))
+    return G.nearest(pts, org, 20.0).select("id", "origin_id", r("km"))
 
 
 @query("X01_X02_wilson_ppv", """
@@ -471,7 +476,7 @@ def _(spark, sf_dir):
 
 @query("X08_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(median(l_extendedprice), 4) AS q2 FROM lineitem GROUP BY 1")
 def _(spark, sf_dir):
-    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.25), 4).alias("q1"), F.round(F.median("l_extendedprice"), 4).alias("q2"))
+    return X.quantiles(t(spark, sf_dir, "lineitem"), "l_extendedprice", {"q1": 0.25, "q2": 0.5}, ["l_returnflag"]).select("l_returnflag", r("q1", 4), r("q2", 4))
 
 
 @query("X09_X10_rates", "SELECT l_returnflag, round(CASE WHEN count(*) >= 100 THEN sum(CAST(l_tax > 0.04 AS INTEGER)) / count(*) * 1000 END, 6) AS rate FROM lineitem GROUP BY 1")

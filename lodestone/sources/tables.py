@@ -3,19 +3,59 @@
 from __future__ import annotations
 
 import csv
-import glob
 import hashlib
 import json
-import os
 import re
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.joins import ContractError
 
 
+def storage(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path on any storage."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = storage(spark, path)
+    return fs.exists(at)
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on any storage; one that exists is never replaced."""
+    fs, at = storage(spark, path)
+    out = fs.create(at, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_note(spark: SparkSession, path: str) -> str:
+    fs, at = storage(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a local session may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/lodestone-scratch"
+    return f"{root.rstrip('/')}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def text_schema(columns: list[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
@@ -53,7 +93,9 @@ def read_csv_with_footer(spark: SparkSession, path: str, required: tuple[str, ..
     width = len(next(csv.reader([head["value"]])))
     n_fields = F.regexp_count("value", F.lit(r',(?=(?:[^"]*"[^"]*")*[^"]*$)')) + 1
     tagged = lines.withColumn("fields", n_fields)
-    notes = {m[1].strip(): m[2].strip() for r in tagged.filter(F.col("fields") != width).limit(10_000).collect() if (m := re.match(r'^"?([^:"]+):\s*(.*?)"?,*$', r["value"]))}
+    note = lambda k: F.trim(F.regexp_extract("value", r'^"?([^:"]+):\s*(.*?)"?,*$', k))
+    found = tagged.filter(F.col("fields") != width).select("n", note(1).alias("key"), note(2).alias("text")).filter("key <> ''")
+    notes = {r["key"]: r["text"] for r in found.groupBy("key").agg(F.max_by("text", "n").alias("text")).collect()}  # one row a key
     if missing := [k for k in required if k not in notes]:
         raise ContractError(f"footer without {missing}")
     names = next(csv.reader([head["value"]]))
@@ -72,11 +114,12 @@ def read_with_fallback(spark: SparkSession, path: str, encodings: tuple[str, ...
     return read_text_csv(spark, path, encoding=encodings[-1], **options)
 
 
-def dated_snapshots(pattern: str, date: str = r"(\d{8}|\d{4}-\d{2})", keep: str = "earliest") -> dict[str, str]:
-    """Period to path: one file a period, the earliest or the latest by name."""
+def dated_snapshots(spark: SparkSession, pattern: str, date: str = r"(\d{8}|\d{4}-\d{2})", keep: str = "earliest") -> dict[str, str]:
+    """Period to path: one file a period, the earliest or the latest by name; on any storage."""
+    fs, at = storage(spark, pattern)
     out: dict[str, str] = {}
-    for path in sorted(glob.glob(pattern)):
-        if m := re.search(date, os.path.basename(path)):
+    for path in sorted(x.getPath().toString() for x in fs.globStatus(at) or []):
+        if m := re.search(date, path.rsplit("/", 1)[-1]):
             period = m[1][:4] if len(m[1]) == 8 else m[1]
             if keep == "latest" or period not in out:
                 out[period] = path
@@ -131,49 +174,156 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
-def file_hash(path: str) -> str:
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+def file_hash(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file on any storage, streamed."""
+    fs, at = storage(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def content_rows(df: DataFrame) -> DataFrame:
+    """One row (n, total, parity): the number of rows and sums of their MD5 values, whatever their order."""
+    row = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in sorted(df.columns))))
+    part = lambda a: F.conv(F.substring(row, a, 8), 16, 10).cast("long")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(part(1)), F.lit(0)).alias("total"), F.coalesce(F.bit_xor(part(9)), F.lit(0)).alias("parity"))
 
 
 def content_hash(df: DataFrame) -> str:
     """A hash of the rows that does not depend on their order; equal rows count."""
-    row = F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s"), F.bit_xor(row).alias("x")).first()
-    return hashlib.sha256(json.dumps([r["n"], str(r["s"]), r["x"], sorted(df.columns)]).encode()).hexdigest()
+    r = content_rows(df).first()
+    return hashlib.sha256(json.dumps([r["n"], str(r["total"]), r["parity"], sorted(df.columns)]).encode()).hexdigest()
+
+
+def note_path(path: str, kind: str) -> str:
+    return f"{path.rstrip('/')}.{kind}.json"
 
 
 def write_with_provenance(df: DataFrame, path: str, inputs: list[str], **notes: str) -> None:
     """Write, then record the inputs' hashes and the table's own beside it."""
+    spark = df.sparkSession
     df.write.mode("errorifexists").parquet(path)
-    record = {"inputs": {p: file_hash(p) for p in inputs}, "content": content_hash(df.sparkSession.read.parquet(path)), **notes}
-    with open(f"{path.rstrip('/')}.provenance.json", "w", encoding="utf-8") as f:
-        json.dump(record, f, indent=1, sort_keys=True)
+    record = {"inputs": {p: file_hash(spark, p) for p in inputs}, "content": content_hash(spark.read.parquet(path)), **notes}
+    write_note(spark, note_path(path, "provenance"), json.dumps(record, indent=1, sort_keys=True))
 
 
-def stale_inputs(path: str) -> list[str]:
+def stale_inputs(spark: SparkSession, path: str) -> list[str]:
     """Inputs whose hash has changed since the table was written, or that are gone."""
-    with open(f"{path.rstrip('/')}.provenance.json", encoding="utf-8") as f:
-        inputs = json.load(f)["inputs"]
-    return sorted(p for p, h in inputs.items() if not os.path.exists(p) or file_hash(p) != h)
+    inputs = json.loads(read_note(spark, note_path(path, "provenance")))["inputs"]
+    return sorted(p for p, h in inputs.items() if not exists(spark, p) or file_hash(spark, p) != h)
+
+
+def write_manifest(spark: SparkSession, path: str, run: str, tables: dict[str, str], **notes: str) -> None:
+    """A run's manifest: each table's path, rows and content hash."""
+    rows = {name: {"path": at, "rows": spark.read.parquet(at).count(), "content": content_hash(spark.read.parquet(at))} for name, at in tables.items()}
+    write_note(spark, path, json.dumps({"run": run, "tables": rows, **notes}, indent=1, sort_keys=True))
+
+
+def spec_path(folder: str, name: str, **spec: str) -> str:
+    """A table's path that says what it holds: the name and its settings in order."""
+    parts = [f"{k}-{re.sub(r'[^A-Za-z0-9.+]+', '-', str(v))}" for k, v in sorted(spec.items())]
+    return f"{folder.rstrip('/')}/{'_'.join([name, *parts])}"
 
 
 def freeze(df: DataFrame, path: str) -> None:
     """Write once; a frozen table is never written again."""
-    if os.path.exists(path):
+    if exists(df.sparkSession, path):
         raise ContractError(f"{path} is frozen")
-    df.write.parquet(path)
+    df.write.mode("errorifexists").parquet(path)
 
 
 def atomic_write(df: DataFrame, path: str, check=None) -> None:
     """Write beside the target, validate, then rename."""
+    spark = df.sparkSession
     staged = f"{path.rstrip('/')}.staged"
     df.write.mode("overwrite").parquet(staged)
     if check:
-        check(df.sparkSession.read.parquet(staged))
-    if os.path.exists(path):
+        check(spark.read.parquet(staged))
+    fs, target = storage(spark, path)
+    if fs.exists(target):
         raise ContractError(f"{path} exists")
-    os.rename(staged, path)
+    if not fs.rename(storage(spark, staged)[1], target):
+        raise ContractError(f"{staged} could not be renamed")
+
+
+def append_rows(df: DataFrame, path: str, id_: str) -> None:
+    """Append the rows whose id the table does not have yet."""
+    spark = df.sparkSession
+    if exists(spark, path):
+        df = df.join(spark.read.parquet(path).select(id_).distinct(), id_, "left_anti")
+    df.write.mode("append").parquet(path)
+
+
+def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Columns of a text table with the given types; what does not fit is null."""
+    return df.select(*(F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns))
+
+
+def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
+    """Fields of structs as columns, at any depth, named by their path."""
+    while any(isinstance(f.dataType, StructType) for f in df.schema):
+        df = df.select(*(c for f in df.schema for c in ([F.col(f.name)[g.name].alias(f"{f.name}{sep}{g.name}") for g in f.dataType] if isinstance(f.dataType, StructType) else [F.col(f.name)])))
+    return df
+
+
+def xml_rows(df: DataFrame, column: str, schema: str, keep: list[str]) -> DataFrame:
+    """Columns of ``schema`` parsed from one XML element a row."""
+    return df.select(*keep, F.from_xml(F.col(column), schema).alias("x")).select(*keep, "x.*")
+
+
+def request_text(template: str, **values: Column) -> Column:
+    """A request's text: each ``{name}`` of the template replaced, with XML's signs escaped."""
+    out = F.lit(template)
+    for name, value in values.items():
+        text = value.cast("string")
+        for sign, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(sign), F.lit(code))
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(text, F.lit("")))
+    return out
+
+
+def embedded_json(html: Column, schema: str) -> Column:
+    """The first linked-data object in a page's scripts, entities unescaped; null if it does not parse."""
+    text = F.regexp_extract(html, r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)
+    for code, sign in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(code), F.lit(sign))
+    return F.when(F.trim(text) != "", F.from_json(text, schema))
+
+
+def table_cells(html: Column) -> Column:
+    """Rows of cells of all tables in a page, tags removed."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    clean = lambda c: F.trim(F.regexp_replace(c, "(?s)<[^>]*>", ""))
+    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), clean))
+
+
+def split_searches(df: DataFrame, name: str, cap: int) -> DataFrame:
+    """(prefix, n): the searches by prefix that together find all names, none with more than ``cap`` hits.
+
+    A search that finds more is split by its next letter; a name that ends there is
+    searched whole, however often it occurs.
+    """
+    words = df.groupBy(F.lower(name).alias("_w")).agg(F.count(F.lit(1)).alias("_n")).filter("_w <> ''")
+    each = words.withColumn("_l", F.explode(F.sequence(F.lit(1), F.length("_w"))))
+    counts = each.groupBy(F.substring("_w", F.lit(1), F.col("_l")).alias("prefix")).agg(F.sum("_n").alias("n"), F.max(F.when(F.col("_l") == F.length("_w"), F.col("_n"))).alias("whole"))
+    above = counts.select(F.col("prefix").alias("_p"), F.col("n").alias("_above"))
+    parent = F.left(F.col("prefix"), F.length("prefix") - 1)
+    rows = counts.join(above, parent == F.col("_p"), "left").filter((F.length("prefix") == 1) | (F.col("_above") > cap))
+    found = rows.withColumn("exact", F.col("n") > cap).filter((F.col("n") <= cap) | F.col("whole").isNotNull())
+    return found.select("prefix", "exact", F.when(F.col("exact"), F.col("whole")).otherwise(F.col("n")).alias("n"))
+
+
+def tables_like(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the catalog's tables and views that match."""
+    return sorted(x.name for x in spark.catalog.listTables() if re.fullmatch(pattern, x.name))
+
+
+def register(frames: dict[str, DataFrame]) -> None:
+    """Frames as views, to be used in SQL by name."""
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
 
 
 def drop_republished(df: DataFrame, period: str, digest: str) -> DataFrame:
