@@ -6,10 +6,12 @@ A missing value gives a missing key unless a function says otherwise.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Surname particles that are no evidence of identity.
@@ -42,8 +44,19 @@ STATES = {
     "TEXAS": "TX", "UTAH": "UT", "VERMONT": "VT", "VIRGINIA": "VA", "WASHINGTON": "WA", "WEST VIRGINIA": "WV", "WISCONSIN": "WI", "WYOMING": "WY",
     "AMERICAN SAMOA": "AS", "GUAM": "GU", "NORTHERN MARIANA ISLANDS": "MP", "PUERTO RICO": "PR", "VIRGIN ISLANDS": "VI",
 }
-_FROM = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŸŠŽŁŃŚŹŻĆĘĄČĎĚŇŘŤŮĐ"
-_TO = "AAAAAACEEEEIIIINOOOOOOUUUUYYSZLNSZZCEACDENRTUD"
+# Letters with a stroke, and pairs of letters written as one, which have no decomposition.
+STROKES = {"Ø": "O", "Ł": "L", "Đ": "D", "Ħ": "H", "Ŧ": "T", "Æ": "AE", "Œ": "OE", "ß": "SS", "ẞ": "SS", "Þ": "TH", "Ð": "D", "ı": "I"}
+
+
+def _bases() -> tuple[str, str]:
+    """Capital Latin letters with marks, and the letters that they are made of."""
+    import unicodedata
+
+    pairs = [(chr(c), base) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if (base := unicodedata.normalize("NFD", chr(c))[0]) != chr(c) and base.isascii() and base.isupper()]
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+
+
+_FROM, _TO = _bases()
 
 
 def squish(x: Column) -> Column:
@@ -56,10 +69,10 @@ def blank_to_null(x: Column) -> Column:
 
 def transliterate(x: Column) -> Column:
     """Upper case, Latin letters without marks."""
-    u = F.upper(x)
-    for a, b in (("Æ", "AE"), ("Œ", "OE"), ("ß", "SS"), ("Þ", "TH")):
-        u = F.replace(u, F.lit(a), F.lit(b))
-    return F.translate(u, _FROM, _TO)
+    u = F.translate(F.upper(x), _FROM, _TO)
+    for letter, plain in STROKES.items():
+        u = F.replace(u, F.lit(letter), F.lit(plain))
+    return F.regexp_replace(u, r"\p{M}", "")
 
 
 def name_key(x: Column) -> Column:
@@ -90,7 +103,7 @@ def split_given(x: Column) -> tuple[Column, Column]:
 
 
 def strip_name_noise(x: Column) -> Column:
-    """Drop credential and title tokens, whole tokens only; periods become blanks."""
+    """A name without words that are titles or degrees once their dots are gone; other dots turn into spaces."""
     parts = F.filter(F.split(x, r"[\s,]+"), lambda t: (t != "") & ~F.upper(F.replace(t, F.lit("."), F.lit(""))).isin(*NAME_NOISE))
     return squish(F.replace(F.array_join(parts, " "), F.lit("."), F.lit(" ")))
 
@@ -193,6 +206,21 @@ def address(x: Column) -> Column:
     return F.nullif(squish(y), F.lit(""))
 
 
+# Further suffixes and directions of the postal standard.
+POSTAL_WORDS = {
+    "TERRACE": "TER", "CIRCLE": "CIR", "TRAIL": "TRL", "SQUARE": "SQ", "PLAZA": "PLZ", "ALLEY": "ALY", "EXPRESSWAY": "EXPY", "FREEWAY": "FWY", "TURNPIKE": "TPKE", "CROSSING": "XING", "RIDGE": "RDG", "POINT": "PT", "MOUNT": "MT",
+    "FORT": "FT", "NORTHEAST": "NE", "NORTHWEST": "NW", "SOUTHEAST": "SE", "SOUTHWEST": "SW", "APARTMENT": "APT", "BUILDING": "BLDG", "FLOOR": "FL", "ROOM": "RM", "DEPARTMENT": "DEPT",
+}
+
+
+def standard_address(x: Column) -> Column:
+    """Street key with the postal standard's suffixes, directions and unit words."""
+    y = address(x)
+    for word, short in POSTAL_WORDS.items():
+        y = F.regexp_replace(y, rf"\b{word}\b", short)
+    return y
+
+
 def address_without_unit(x: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(address(F.regexp_replace(x, "#", " STE ")), r"\b(STE|APT|UNIT|FL|FLOOR|RM|ROOM)\b.*$", "")), F.lit(""))
 
@@ -241,6 +269,7 @@ def band(x: Column, edges: list[float], labels: list[str], low: float = 0, high:
     return out.otherwise(labels[-1])
 
 
+# Bands of years and of rurality codes.
 def band_years_since_enumeration(x: Column) -> Column:
     return band(x, [5, 10, 15, 20], ["<5 years", "5-9 years", "10-14 years", "15-19 years", ">=20 years"], 0, 25)
 
@@ -254,6 +283,18 @@ def band_rurality(x: Column) -> Column:
     return F.when(v.between(1, 3), "Metropolitan (RUCC 1-3)").when(v.between(4, 6), "Nonmetropolitan, adjacent (RUCC 4-6)").when(v.between(7, 9), "Nonmetropolitan, remote (RUCC 7-9)")
 
 
+# Bands of age.
+def band_age(x: Column) -> Column:
+    return band(x, [35, 45, 55, 65], ["<35", "35-44", "45-54", "55-64", ">=65"], 0, 120)
+
+
+def decade(x: Column) -> Column:
+    """Decade of a number, as 30s."""
+    v = x.try_cast("int")
+    return F.when(v.isNotNull(), F.concat((F.floor(v / 10) * 10).cast("string"), F.lit("s")))
+
+
+# Boxes of places.
 def classify_coordinate(lon: Column, lat: Column) -> Column:
     lon, lat = lon.try_cast("double"), lat.try_cast("double")
     box = lambda a, b, c, d: lon.between(a, b) & lat.between(c, d)
@@ -303,7 +344,8 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return similarity(a, b)
 
 
-def jaro_winkler_of(a: str, b: str, scale: float = 0.1) -> float:
+def jaro_winkler_of(a: str, b: str, scale: float = 0.1, boost: float = 0.7) -> float:
+    """Whole transpositions count; a common beginning helps texts above ``boost`` only."""
     if a == b:
         return 1.0 if a else 0.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
@@ -316,7 +358,21 @@ def jaro_winkler_of(a: str, b: str, scale: float = 0.1) -> float:
     if not left:
         return 0.0
     right = [c for c, t in zip(b, taken, strict=True) if t]
-    m, swaps = len(left), sum(x != y for x, y in zip(left, right, strict=True)) / 2
+    m, swaps = len(left), sum(x != y for x, y in zip(left, right, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    if jaro <= boost:
+        return jaro
     prefix = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
     return jaro + prefix * scale * (1 - jaro)
+
+
+def sentence(template: str, *clauses: Column) -> Column:
+    """A sentence with ``{column}`` filled in, and the clauses that are there after commas."""
+    parts = re.split(r"\{(\w+)\}", template)
+    filled = F.concat(*(F.coalesce(F.col(p).cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)))
+    return F.concat(F.concat_ws(", ", filled, *clauses), F.lit("."))
+
+
+def across(df: DataFrame, columns: list[str], f: Callable[[Column], Column]) -> DataFrame:
+    """The same function over several columns."""
+    return df.withColumns({c: f(F.col(c)) for c in columns})

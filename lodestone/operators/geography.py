@@ -129,3 +129,71 @@ def nearest(points: DataFrame, origins: DataFrame, within_km: float = 5.0) -> Da
     km = S.haversine_km(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon"))
     near = p.join(o, ["_x", "_y"]).withColumn("km", km).filter(F.col("km") <= within_km)
     return near.groupBy("id").agg(F.min("km").alias("km"), F.min_by("origin_id", F.struct("km", "origin_id")).alias("origin_id")).select("id", "origin_id", "km")
+
+
+def state_disagreement(address: Column, postal: Column, coordinate: Column) -> Column:
+    """Whether two of three states that are known differ."""
+    differ = lambda a, b: F.coalesce(a != b, F.lit(False))
+    return differ(address, postal) | differ(address, coordinate) | differ(postal, coordinate)
+
+
+def wrong_source(address: Column, postal: Column, coordinate: Column) -> Column:
+    """Which of three states stands against the other two."""
+    known = address.isNotNull() & postal.isNotNull() & coordinate.isNotNull()
+    return (
+        F.when(~known, "incomplete").when((address == postal) & (postal == coordinate), "all_agree").when(address == postal, "coordinate_wrong")
+        .when(address == coordinate, "postal_wrong").when(postal == coordinate, "address_wrong").otherwise("all_differ")
+    )
+
+
+def coordinate_fitness(tables: dict[str, DataFrame], lat: str, lon: str, place: str) -> DataFrame:
+    """(name, rows, with_coordinates, with_place) of each candidate table, best first."""
+    one = lambda n, df: df.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(lat).isNotNull() & F.col(lon).isNotNull()).alias("with_coordinates"), F.count(place).alias("with_place"))
+    frames = [one(n, df) for n, df in tables.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def access_share(people: DataFrame, bands: dict[str, str], weight: str, by: list[str] | None = None) -> DataFrame:
+    """(by, band, with_access, total, pct): the weight of rows whose band flag is set."""
+    by = by or []
+    per = people.groupBy(*by).agg(F.sum(weight).alias("total"), *(F.coalesce(F.sum(F.when(F.col(flag), F.col(weight))), F.lit(0)).alias(band) for band, flag in bands.items()))
+    rows = per.unpivot([*by, "total"], list(bands), "band", "with_access")
+    return rows.withColumn("pct", F.round(F.when(F.col("total") > 0, 100 * F.col("with_access") / F.col("total")), 1))
+
+
+def band_completeness(bands: DataFrame, keys: list[str], band: str, needed: int) -> DataFrame:
+    """(keys, bands_present, n_bands, complete) of each origin."""
+    rows = bands.filter(F.col(band).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(band)).alias("b"))
+    return rows.select(*keys, F.array_join(F.transform("b", lambda x: x.cast("string")), "/").alias("bands_present"), F.size("b").alias("n_bands"), (F.size("b") == needed).alias("complete"))
+
+
+def ring_area_km2(ring: Column) -> Column:
+    """Area of a small ring of [lon, lat] arrays, by the shoelace formula on degrees scaled at its middle latitude."""
+    n = F.size(ring)
+    x, y = lambda i: F.get(F.get(ring, i % n), 0), lambda i: F.get(F.get(ring, i % n), 1)
+    twice = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + x(i) * y(i + 1) - x(i + 1) * y(i))
+    middle = F.aggregate(F.transform(ring, lambda p: F.get(p, 1)), F.lit(0.0), lambda s, v: s + v) / n
+    return F.abs(twice) / 2 * F.pow(F.lit(111.195), 2) * F.cos(F.radians(middle))
+
+
+def nesting(inner: DataFrame, outer: DataFrame, key: str, tolerance_km2: float = 100.0) -> DataFrame:
+    """(key, excess, ok): by how much the inner area of (key, km2) is greater than the outer one."""
+    both = inner.select(key, F.col("km2").alias("i")).join(outer.select(key, F.col("km2").alias("o")), key)
+    return both.select(key, F.greatest(F.lit(0.0), F.col("i") - F.col("o")).alias("excess")).withColumn("ok", F.col("excess") <= tolerance_km2)
+
+
+def geometry_rules(lat: str, lon: str) -> dict[str, Column]:
+    """Rules of a table in degrees: present, in range, and not at the null island."""
+    y, x = F.col(lat), F.col(lon)
+    return {"present": y.isNotNull() & x.isNotNull(), "in_range": y.between(-90, 90) & x.between(-180, 180), "not_null_island": ~((F.abs(y) < 1e-9) & (F.abs(x) < 1e-9))}
+
+
+def boundary_vintage(year: Column, changes: list[int]) -> Column:
+    """The newest of the vintages that is not after the year, or the oldest one."""
+    out = F.lit(min(changes))
+    for c in sorted(changes):
+        out = F.when(year >= c, c).otherwise(out)
+    return out

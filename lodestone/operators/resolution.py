@@ -133,3 +133,86 @@ def coverage_matrix(spine: DataFrame, arms: dict[str, DataFrame], id_: str) -> D
     out = out.select(id_, *flags)
     n = reduce(lambda x, y: x + y, (F.col(a).cast("int") for a in arms))
     return out.withColumn("n_arms", n).withColumn("class", F.when(n == 0, "none").when(n == 1, "single").otherwise("several"))
+
+
+def affiliation_strength(identified: Column, solo: Column) -> Column:
+    """What a reassignment to an organization shows."""
+    return F.when(~F.coalesce(identified, F.lit(False)), "target_unidentified").when(F.coalesce(solo, F.lit(False)), "confirmed_solo_practitioner").otherwise("confirmed_billing")
+
+
+def affiliation_classes(billing: dict[str, Column], place: dict[str, Column]) -> tuple[Column, Column]:
+    """(class, layer) of the arms that support a pair: several, one by name, or unresolved; billing, place, or both."""
+    arms = billing | place
+    n = reduce(lambda x, y: x + y, (c.cast("int") for c in arms.values()))
+    one = F.when(n >= 2, "several_sources")
+    for name, c in arms.items():
+        one = one.when(c, f"{name}_only")
+    some = lambda cs: reduce(lambda x, y: x | y, cs.values())
+    layer = F.when(some(billing) & some(place), "both_layers").when(some(billing), "billing_only").when(some(place), "place_only").otherwise("none")
+    return one.otherwise("unresolved"), layer
+
+
+def reconcile_names(rows: DataFrame, id_: str, source: str, name: str, org: str) -> DataFrame:
+    """(id, source_a, source_b, class): how two sources' organizations of one id relate.
+
+    same_identity, same_name_new_identity, renamed_identity, different, or one side missing.
+    """
+    pairs = rows.alias("a").join(rows.alias("b"), id_).filter(F.col(f"a.{source}") < F.col(f"b.{source}"))
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    same_name, same_org = F.coalesce(a(name) == b(name), F.lit(False)), F.coalesce(a(org) == b(org), F.lit(False))
+    missing = a(org).isNull() | b(org).isNull()
+    kind = F.when(same_org & same_name, "same_identity").when(same_org, "renamed_identity").when(missing & same_name, "same_name_unidentified").when(missing, "one_side_unidentified").when(same_name, "same_name_new_identity").otherwise("different")
+    return pairs.select(id_, a(source).alias("source_a"), b(source).alias("source_b"), kind.alias("class"))
+
+
+def distribution_shift(before: DataFrame, after: DataFrame, org: str) -> DataFrame:
+    """(org, n_before, n_after, gain)."""
+    n = lambda df, c: df.groupBy(org).agg(F.count(F.lit(1)).alias(c))
+    both = n(before, "n_before").join(n(after, "n_after"), org, "full").na.fill(0, ["n_before", "n_after"])
+    return both.withColumn("gain", F.col("n_after") - F.col("n_before"))
+
+
+def attribution(people: DataFrame, privileges: DataFrame, exact: DataFrame, near: DataFrame, id_: str, org: str) -> DataFrame:
+    """(id, org, tier): a privilege, else an exact address, else the only organization near; several are kept as a number.
+
+    Each argument has (id, org); of several privileges or addresses the least
+    organization stands, near ones must be a single one.
+    """
+    side = lambda df, name: df.groupBy(id_).agg(F.min(org).alias(name), F.count_distinct(org).alias(f"n_{name}"))
+    out = people.select(id_).distinct().join(side(privileges, "p"), id_, "left").join(side(exact, "e"), id_, "left").join(side(near, "s"), id_, "left")
+    sole = F.col("n_s") == 1
+    tier = F.when(F.col("p").isNotNull(), "privilege").when(F.col("e").isNotNull(), "exact_address").when(sole, "sole_nearby").when(F.col("n_s") > 1, "several_nearby").otherwise("none")
+    return out.select(id_, F.coalesce("p", "e", F.when(sole, F.col("s"))).alias(org), tier.alias("tier"))
+
+
+def latest_reported(rows: DataFrame, id_: str, year: str, value: str) -> DataFrame:
+    """The latest year's most reported value of each id, ties to the smaller value."""
+    per = rows.filter(F.col(value).isNotNull()).groupBy(id_, year, value).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(id_).orderBy(F.col(year).desc(), F.col("n").desc(), F.col(value).asc()))
+    return per.withColumn("_n", place).filter("_n = 1").drop("_n")
+
+
+def first_cause(causes: list[tuple[Column, str]], otherwise: str = "other") -> tuple[Column, Column]:
+    """(the first cause that holds, all that hold joined by plus)."""
+    holds = [(F.coalesce(c, F.lit(False)), name) for c, name in causes]
+    first = F.coalesce(*(F.when(c, F.lit(name)) for c, name in holds), F.lit(otherwise))
+    every = F.array_join(F.filter(F.array(*(F.when(c, F.lit(name)) for c, name in holds)), lambda x: x.isNotNull()), "+")
+    return first, F.coalesce(F.nullif(every, F.lit("")), F.lit(otherwise))
+
+
+def by_priority(sources: list[tuple[str, Column]]) -> tuple[Column, Column]:
+    """(value, source) of the first source that has one; blank is none."""
+    clean = [(name, F.nullif(F.trim(c), F.lit(""))) for name, c in sources]
+    return F.coalesce(*(c for _, c in clean)), F.coalesce(*(F.when(c.isNotNull(), F.lit(name)) for name, c in clean))
+
+
+def building_type(address: Column, campus: Column, centre: Column, office: str = r"(?i)\b(medical|professional)\s+(plaza|pavilion|building|arts)\b|\bMOB\b") -> Column:
+    """Main campus by exact address, birth centre by list or name, medical office by pattern, else a clinic."""
+    named = F.upper(F.coalesce(address, F.lit(""))).rlike("BIRTH(ING)? CENTER")
+    return F.when(F.coalesce(campus, F.lit(False)), "main_campus").when(F.coalesce(centre, F.lit(False)) | named, "birth_centre").when(F.coalesce(address.rlike(office), F.lit(False)), "medical_office").otherwise("clinic")
+
+
+def without_prefixes(df: DataFrame, column: str, prefixes: list[str]) -> DataFrame:
+    """Rows whose code starts with none of the prefixes; a missing code stays."""
+    code = F.upper(F.trim(F.coalesce(F.col(column).cast("string"), F.lit(""))))
+    return df.filter(~code.rlike("^(" + "|".join(prefixes) + ")"))
