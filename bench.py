@@ -12,7 +12,7 @@ from lodestone.plans import registry
 HEADLINE = [
     "L01_exact", "L03_fuzzy", "L04_surname_component", "L09_resolve_best_class", "L11_L12_greedy_allocation", "L18_L22_linkage_tier", "L27_waterfall",
     "J10_J14_coverage_orders_customer", "J18_edit_join", "W06_W07_spells", "O05_O08_tiers", "O24_W04_cardinality", "O25_cardinality_ever", "A01_A04_aggregates", "A05_A07_pivot", "A12_A13_apportion",
-    "C06_effective_share", "G01_geocode_conflicts", "J25_G07_points_in_polygons", "X01_X02_wilson_ppv", "X07_spearman", "X08_quantiles", "F34_safe_divide", "S20_S21_html_links",
+    "C06_effective_share", "G01_geocode_conflicts", "J25_G07_points_in_polygons", "X01_X02_wilson_ppv", "X07_spearman", "X08_quantiles", "F34_safe_divide", "S20_html_links",
 ]
 
 

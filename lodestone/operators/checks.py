@@ -61,6 +61,12 @@ def non_constant(df: DataFrame, columns: list[str]) -> DataFrame:
     return per.unpivot([], columns, "column", "values")
 
 
+def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, filled, rows) of each column."""
+    per = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count(c).alias(c) for c in columns))
+    return per.unpivot(["rows"], columns, "column", "filled").select("column", "filled", "rows")
+
+
 def enforce(rules: DataFrame) -> None:
     """Raise if a rule of (rule, n, ok) is broken."""
     if broken := [f"{r['rule']} ({r['n']})" for r in rules.filter("NOT ok").collect()]:  # a row a rule

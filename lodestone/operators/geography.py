@@ -146,6 +146,15 @@ def wrong_source(address: Column, postal: Column, coordinate: Column) -> Column:
     )
 
 
+def thresholds(df: DataFrame, rules: dict[str, tuple[Column, float, bool]]) -> DataFrame:
+    """(rule, share, ok): the share of rows that fit each rule, against a least (True) or greatest (False) one."""
+    per = df.agg(*(F.avg(F.coalesce(c, F.lit(False)).cast("int")).alias(name) for name, (c, _, _) in rules.items()))
+    bound = F.create_map(*(F.lit(x) for name, (_, limit, _) in rules.items() for x in (name, float(limit))))
+    least = F.create_map(*(F.lit(x) for name, (_, _, up) in rules.items() for x in (name, up)))
+    rows = per.unpivot([], list(rules), "rule", "share")
+    return rows.withColumn("ok", F.when(F.element_at(least, F.col("rule")), F.col("share") >= F.element_at(bound, F.col("rule"))).otherwise(F.col("share") <= F.element_at(bound, F.col("rule"))))
+
+
 def coordinate_fitness(tables: dict[str, DataFrame], lat: str, lon: str, place: str) -> DataFrame:
     """(name, rows, with_coordinates, with_place) of each candidate table, best first."""
     one = lambda n, df: df.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(lat).isNotNull() & F.col(lon).isNotNull()).alias("with_coordinates"), F.count(place).alias("with_place"))

@@ -182,6 +182,11 @@ def identity_flips(a: DataFrame, b: DataFrame, id_: str, value: str) -> DataFram
     return both.filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def transition(a: Column, b: Column) -> Column:
+    """What became of a link between two versions."""
+    return F.when(a == b, "same link").when(a.isNotNull() & b.isNotNull(), "different link").when(a.isNotNull(), "lost").when(b.isNotNull(), "gained").otherwise("still open")
+
+
 def best_slot(slots: Column, primary: list[str], panel: list[str]) -> Column:
     """Best of (slot, code, is_primary) structs: wanted-primary, wanted-secondary, panel-primary, panel-secondary."""
     rank = lambda s: F.when(s["code"].isin(*primary) & s["is_primary"], 1).when(s["code"].isin(*primary), 2).when(s["code"].isin(*panel) & s["is_primary"], 3).when(s["code"].isin(*panel), 4)

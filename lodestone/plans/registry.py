@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import entity_queries, linkage_queries, table_queries  # noqa: F401
+    from . import entity_queries, linkage_queries, place_queries, source_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

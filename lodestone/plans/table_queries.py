@@ -10,7 +10,6 @@ from ..operators import geography as G
 from ..operators import panel as P
 from ..operators import resolution as O
 from ..operators import statistics as X
-from ..sources import tables as T
 from ..streaming.ingest import todo
 from .registry import query
 
@@ -196,7 +195,7 @@ def _(spark, sf_dir):
     return P.concurrent(days(spark, sf_dir), "user_id", "d", "org")
 
 
-@query("C02_C03_participation", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1")
+@query("C02_participation", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1")
 def _(spark, sf_dir):
     return t(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.count_distinct("o_custkey").alias("n"))
 
@@ -396,7 +395,7 @@ def _(spark, sf_dir):
     return G.dominant_mapping(_weights(spark, sf_dir), "src", "tgt", "w").select("src", "tgt", r("w", 4))
 
 
-@query("G02_G03_hierarchy", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey WHEN c_nationkey < 10 THEN c_nationkey END AS place, CASE WHEN c_custkey % 3 = 0 THEN 'coordinate' WHEN c_nationkey < 10 THEN 'zip_unambiguous' ELSE 'none' END AS source FROM customer")
+@query("G02_hierarchy", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey WHEN c_nationkey < 10 THEN c_nationkey END AS place, CASE WHEN c_custkey % 3 = 0 THEN 'coordinate' WHEN c_nationkey < 10 THEN 'zip_unambiguous' ELSE 'none' END AS source FROM customer")
 def _(spark, sf_dir):
     place, source = G.hierarchy(F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey")), F.when(F.col("c_nationkey") < 10, F.col("c_nationkey")))
     return t(spark, sf_dir, "customer").select("c_custkey", place.alias("place"), source.alias("source"))
@@ -474,7 +473,7 @@ def _(spark, sf_dir):
     return X.quantiles(t(spark, sf_dir, "lineitem"), "l_extendedprice", {"q1": 0.25, "q2": 0.5}, ["l_returnflag"]).select("l_returnflag", r("q1", 4), r("q2", 4))
 
 
-@query("X09_X10_rates", "SELECT l_returnflag, round(CASE WHEN count(*) >= 100 THEN sum(CAST(l_tax > 0.04 AS INTEGER)) / count(*) * 1000 END, 6) AS rate FROM lineitem GROUP BY 1")
+@query("X09_rates", "SELECT l_returnflag, round(CASE WHEN count(*) >= 100 THEN sum(CAST(l_tax > 0.04 AS INTEGER)) / count(*) * 1000 END, 6) AS rate FROM lineitem GROUP BY 1")
 def _(spark, sf_dir):
     per = t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_if(F.col("l_tax") > 0.04).alias("k"), F.count(F.lit(1)).alias("n"))
     return per.select("l_returnflag", F.round(X.rate_with_floor(F.col("k"), F.col("n"), 100), 6).alias("rate"))
@@ -492,7 +491,7 @@ def _(spark, sf_dir):
     return n("union", c.union(o).distinct()).unionByName(n("intersect", c.intersect(o))).unionByName(n("except", c.subtract(o)))
 
 
-@query("U04_U05_flow", "SELECT s, count(*) AS n FROM (SELECT CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'kept' WHEN a IS NOT NULL THEN 'left' ELSE 'added' END AS s FROM (SELECT DISTINCT o_custkey AS k, 1 AS a FROM orders WHERE year(o_orderdate) = 1997) FULL JOIN (SELECT DISTINCT o_custkey AS k, 1 AS b FROM orders WHERE year(o_orderdate) = 1998) USING (k)) GROUP BY 1")
+@query("U05_flow", "SELECT s, count(*) AS n FROM (SELECT CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'kept' WHEN a IS NOT NULL THEN 'left' ELSE 'added' END AS s FROM (SELECT DISTINCT o_custkey AS k, 1 AS a FROM orders WHERE year(o_orderdate) = 1997) FULL JOIN (SELECT DISTINCT o_custkey AS k, 1 AS b FROM orders WHERE year(o_orderdate) = 1998) USING (k)) GROUP BY 1")
 def _(spark, sf_dir):
     year = lambda y, n: t(spark, sf_dir, "orders").filter(F.year("o_orderdate") == y).select(F.col("o_custkey").alias("k"), F.lit(1).alias(n)).distinct()
     state = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), "kept").when(F.col("a").isNotNull(), "left").otherwise("added")
@@ -504,7 +503,7 @@ def _(spark, sf_dir):
     return t(spark, sf_dir, "customer", "c_custkey", "c_acctbal").orderBy(F.col("c_acctbal").desc_nulls_last(), F.col("c_custkey")).limit(20)
 
 
-@query("T02_H25_todo", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'click')")
+@query("T02_todo", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'click')")
 def _(spark, sf_dir):
     e = t(spark, sf_dir, "events", "event_id", "event_type")
     return todo(e, e.filter("event_type = 'click'"), "event_id").select("event_id")
@@ -515,17 +514,12 @@ def _(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("S20_S21_html_links", "SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS n_links, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages")
+@query("S20_html_links", "SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS n_links, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages")
 def _(spark, sf_dir):
     links = F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)))
     return t(spark, sf_dir, "pages").select("page_id", links.cast("long").alias("n_links"), F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("title"))
 
 
-@query("V04_content_hash")
-def _(spark, sf_dir):
-    return spark.createDataFrame([(n, T.content_hash(t(spark, sf_dir, n))) for n in ("region", "nation", "supplier")], "name string, hash string")
-
-
 @query("H02_facility_counts", "SELECT s_nationkey, count(*) FILTER (s_acctbal >= 5000) AS yes, count(*) FILTER (s_acctbal < 5000) AS no, count(*) FILTER (s_acctbal IS NULL) AS unknown FROM supplier GROUP BY 1")
 def _(spark, sf_dir):
     b = F.col("s_acctbal")
@@ -538,7 +532,7 @@ def _(spark, sf_dir):
     return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.bool_or(s == "P").alias("any_pending"), F.when(F.count_distinct(s) == 1, F.min(s)).otherwise("mixed").alias("label"))
 
 
-@query("H07_H12_state_rollup", "SELECT n_regionkey, count(*) AS customers, round(sum(c_acctbal), 2) AS balance, round(avg(CAST(c_acctbal > 5000 AS INTEGER)), 6) AS share FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+@query("H07_state_rollup", "SELECT n_regionkey, count(*) AS customers, round(sum(c_acctbal), 2) AS balance, round(avg(CAST(c_acctbal > 5000 AS INTEGER)), 6) AS share FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def _(spark, sf_dir):
     c, n = t(spark, sf_dir, "customer"), t(spark, sf_dir, "nation")
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.round(F.avg((F.col("c_acctbal") > 5000).cast("int")), 6).alias("share"))
