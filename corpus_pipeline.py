@@ -1,4 +1,18 @@
-"""A corpus pipeline of five stages; each is written as Parquet before the next reads it."""
+"""A corpus pipeline of five stages; each is written as Parquet before the next reads it.
+
+Every stage reads all rows that its predecessor kept.  The first four return the
+columns of ``documents`` as they came, further ones included, whatever their names.
+
+Defined results: an empty table stays empty through all stages.
+toxicity: a null or empty text scores 0 and stays; repeated rows go or stay together.
+ngram_jaccard: of each class the row with the least id stays, of several with that id
+the least row; rows with a null id all stay.
+pii: a null text stays null; repeated rows are masked alike.
+mixing: rows without words stay once; repeated rows of one id and text are taken alike;
+a null source is a source of its own.
+packing: a null or empty text is the end token alone; repeated rows are packed as rows
+of their own.
+"""
 
 from __future__ import annotations
 

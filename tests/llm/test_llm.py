@@ -65,6 +65,55 @@ def test_pipeline_on_empty_and_edge(spark, empty, edge):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, edge).count() > 0
 
 
+def brute_pii(rows):
+    """Masked texts of (doc_id, text) rows."""
+    terms = {d: s for d, s in brute_terms(rows)}
+    out = {}
+    for d, t in rows:
+        spans = sorted((int(a), int(b), k.upper()) for k, a, b in (s.split(":") for s in [*base_spans(t).split(","), *terms[d].split(",")] if s))
+        at, parts = 0, []
+        for a, b, k in spans:
+            if a >= at:
+                parts += [t[at:a], f"[{k}]"]
+            at = max(at, b)
+        out[d] = "".join(parts) + t[at:]
+    return out
+
+
+def test_pipeline_by_brute_force(spark, sf):
+    """Each stage's rows from its own input, and the whole run."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    step = lambda name, df: corpus_pipeline.durable(stage[name](spark, df, sf), "test")
+    rows = lambda df: {r["doc_id"]: r for r in df.collect()}
+
+    lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    kept = step("toxicity", docs)
+    raw = {d: naive_raw(lexicon, x) for d, x in docs_of(spark, sf)}
+    assert rows(kept) == {d: r for d, r in rows(docs).items() if raw[d] < lexicon.threshold}
+
+    single = step("ngram_jaccard", kept)
+    classes = brute_links([(d, r["text"] or "") for d, r in rows(kept).items()])
+    assert rows(single) == {d: rows(kept)[d] for d, c, _ in classes if d == c}
+
+    clean = step("pii", single)
+    masked = brute_pii([(d, r["text"] or "") for d, r in rows(single).items()])
+    got = rows(clean)
+    assert {d: r["text"] or "" for d, r in got.items()} == masked
+    same = [c for c in docs.columns if c not in ("text", "n_chars")]
+    assert all(r[c] == rows(single)[d][c] for d, r in got.items() for c in same) and all(r["n_chars"] == len(r["text"]) for r in got.values() if r["text"])
+
+    mixed = step("mixing", clean)
+    assert collections.Counter((r["doc_id"], r["text"], r["source"]) for r in mixed.collect()) == brute_mix(spark, [(d, r["text"], r["source"]) for d, r in got.items()])
+
+    out = step("packing", mixed).collect()
+    check_packing([(r["doc_id"], r["text"] or "") for r in mixed.collect()], out, 2)
+    digest = lambda some: collections.Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in some)
+    assert digest(corpus_pipeline.run(spark, sf).collect()) == digest(out)
+
+
 def base_spans(t):
     def luhn(d):
         return sum(v - 9 * (v > 9) for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
@@ -136,7 +185,7 @@ def brute_terms(rows):
         base = [tuple(map(int, s.split(":")[1:])) for s in base_spans(t).split(",") if s]
         spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in marked]
         out.append((d, ",".join(f"term:{a}:{b}" for a, b in spans if not any(x <= a and b <= y for x, y in base))))
-    return collections.Counter(out)
+    return out
 
 
 def test_pii_terms_by_brute_force(spark, edge, sf):
@@ -145,7 +194,7 @@ def test_pii_terms_by_brute_force(spark, edge, sf):
     for path in (edge, sf):
         rows = docs_of(spark, path)
         got = collections.Counter((r["doc_id"], ",".join(s for s in r["spans"].split(",") if s.startswith("term:"))) for r in queries.op1_pii(spark, path).collect())
-        want = brute_terms(rows)
+        want = collections.Counter(brute_terms(rows))
         assert got == want
         some |= any(s for _, s in want)
     assert some
@@ -168,13 +217,25 @@ def test_topk(spark, edge):
         if q % 50 == 0:
             best = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in fine if i != q and len(w) == len(v)))[:5]
             want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    for rows_ in (16_384, 40):
+    for options in ({}, {"shard_rows": 40}, {"shard_rows": 16, "first_round": 1}):
         got = collections.defaultdict(list)
-        for r in topk.top_k(spark.read.parquet(f"{edge}/embeddings.parquet"), F.col("id") % 50 == 0, shard_rows=rows_).orderBy("query_id", "rank").collect():
+        for r in topk.top_k(spark.read.parquet(f"{edge}/embeddings.parquet"), F.col("id") % 50 == 0, **options).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
         assert got == want
 
 
+def test_cells():
+    """Cells of near equal size, also with many equal rows; every row finds the cell that it fell into."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-100, 100, (1000, 5))
+    x[:300] = 7
+    dims, at = topk.cells(x, 16)
+    where = topk.cell_of(x, dims, at)
+    assert len(dims) == 15 and where.min() >= 0 and where.max() <= 15 and len(set(where[:300].tolist())) == 1
+    assert np.bincount(where[300:]).max() < 200
+    assert topk.cell_of(x[:0], dims, at).tolist() == [] and topk.cell_of(x, *topk.cells(x[:0], 16)).tolist() == [0] * 1000
+
+
 def naive_fingerprint(text, functions=128):
     """The two least numbered k-mers of each function's order, in text order."""
     import xxhash
@@ -256,29 +317,33 @@ def test_warc(spark, edge):
     assert {r["payload"].decode() for r in warc.read_warc(spark, path).filter("record_id = '<urn:page:4>'").collect()} == {"\r\n\r\nWARC/1.1\r\n" * 20}
 
 
-def test_packing(spark, edge, sf):
+def check_packing(docs, out, spare):
+    """Pieces by the slow tokenizer, gapless sequences, and hardly more of them than the sum of lengths needs."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(packing.tokenizer_path())
+    want = collections.Counter()
+    for d, x in docs:
+        ids = [*slow.encode(x, add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 4096):
+            part = ids[k : k + 4096]
+            want[d, k // 4096, k, len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
+    bins = collections.defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(bins) <= -(-sum(r["length"] for r in out) // 4096) + spare
+
+
+def test_packing(spark, edge, sf):
     for path in (edge, sf):
-        out = queries.op5_packing(spark, path).collect()
-        want = collections.Counter()
-        for d, x in docs_of(spark, path):
-            ids = [*slow.encode(x, add_special_tokens=False).ids, 1]
-            for k in range(0, len(ids), 4096):
-                part = ids[k : k + 4096]
-                want[d, k // 4096, k, len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes())] += 1
-        assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
-        bins = collections.defaultdict(list)
-        for r in out:
-            bins[r["sequence_id"]].append((r["offset"], r["length"]))
-        for parts in bins.values():
-            at = 0
-            for offset, length in sorted(parts):
-                assert offset == at
-                at += length
-            assert at <= 4096
-        assert len(bins) <= -(-sum(r["length"] for r in out) // 4096) + 1 + (path == edge)
+        check_packing(docs_of(spark, path), queries.op5_packing(spark, path).collect(), 1 + (path == edge))
 
 
 def test_tokens_of_odd_texts():
@@ -428,29 +493,34 @@ def test_mixing_taken(spark, edge):
     assert sorted(map(repr, got)) == sorted(map(repr, queries.op8_mixing(spark, edge).collect()))
 
 
+def brute_mix(spark, rows):
+    """How often each (doc_id, text, source) is in the mix."""
+    sizes = {x: len(re.findall(r"[^\x20\x09-\x0D]+", x or "")) for _, x, _ in rows}
+    key = lambda r: hashlib.md5(f"mix:{'' if r[0] is None else r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest()
+    per = collections.Counter()
+    for _, x, s in rows:
+        per[s] += sizes[x]
+    targets = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(per.items()), "source string, size long")).collect()}
+    want = collections.Counter()
+    for s, total in per.items():
+        epochs, left = divmod(int(targets[s]), total) if total else (0, 0)
+        groups = collections.defaultdict(list)
+        for r in rows:
+            if r[2] == s:
+                groups[key(r)].append(r)
+        for _, same in sorted(groups.items()):
+            n = sizes[same[0][1]]
+            some = n > 0 and left > 0 and left * 2 >= n
+            left = max(0, left - n * len(same))
+            want[same[0]] += len(same) * (1 if n == 0 else epochs + some)
+    return +want
+
+
 def test_mixed_documents(spark, edge, sf):
     for path in (edge, sf):
         docs = spark.read.parquet(f"{path}/documents.parquet")
         rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
-        sizes = {x: len(re.findall(r"[^\x20\x09-\x0D]+", x or "")) for _, x, _ in rows}
-        key = lambda r: hashlib.md5(f"mix:{'' if r[0] is None else r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest()
-        per = collections.Counter()
-        for _, x, s in rows:
-            per[s] += sizes[x]
-        targets = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(per.items()), "source string, size long")).collect()}
-        want = collections.Counter()
-        for s, total in per.items():
-            epochs, left = divmod(int(targets[s]), total) if total else (0, 0)
-            groups = collections.defaultdict(list)
-            for r in rows:
-                if r[2] == s:
-                    groups[key(r)].append(r)
-            for _, same in sorted(groups.items()):
-                n = sizes[same[0][1]]
-                some = n > 0 and left > 0 and left * 2 >= n
-                left = max(0, left - n * len(same))
-                want[same[0]] += len(same) * (1 if n == 0 else epochs + some)
-        assert collections.Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.mix_documents(docs).collect()) == +want
+        assert collections.Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.mix_documents(docs).collect()) == brute_mix(spark, rows)
 
 
 def test_mixed_documents_clashing_columns(spark):
