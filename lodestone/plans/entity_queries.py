@@ -282,10 +282,10 @@ def _(spark, sf_dir):
     return O.reconcile_names(o.withColumn("org", F.when(F.col("k") % 5 > 0, F.col("k") % 4)), "id", "source", "name", "org")
 
 
-@query("O23_conserved", "SELECT CAST(NULL AS VARCHAR) AS o_orderpriority, CAST(NULL AS VARCHAR) AS o_orderstatus, 0::BIGINT AS before, 0::BIGINT AS after WHERE FALSE UNION ALL SELECT o_orderpriority, o_orderstatus, count(*), CAST(sum(CASE WHEN o_totalprice > 1000 THEN 1 ELSE 0 END) AS BIGINT) FROM orders GROUP BY 1, 2 HAVING count(*) <> sum(CASE WHEN o_totalprice > 1000 THEN 1 ELSE 0 END)")
+@query("O23_conserved", "SELECT CAST(NULL AS VARCHAR) AS o_orderpriority, CAST(NULL AS VARCHAR) AS o_orderstatus, 0::BIGINT AS before, 0::BIGINT AS after WHERE FALSE UNION ALL SELECT o_orderpriority, o_orderstatus, count(*), CAST(sum(CASE WHEN o_totalprice > 40000 THEN 1 ELSE 0 END) AS BIGINT) FROM orders GROUP BY 1, 2 HAVING count(*) <> sum(CASE WHEN o_totalprice > 40000 THEN 1 ELSE 0 END)")
 def _(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
-    return C.conserved(o, o.filter("o_totalprice > 1000"), ["o_orderpriority", "o_orderstatus"])
+    return C.conserved(o, o.filter("o_totalprice > 40000"), ["o_orderpriority", "o_orderstatus"])
 
 
 _HOSP = """

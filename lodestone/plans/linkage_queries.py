@@ -324,10 +324,10 @@ def _(spark, sf_dir):
     return J.semi_join(*_cust(spark, sf_dir), ["c_custkey"])
 
 
-@query("J05_anti", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 30)")
+@query("J05_anti", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R')")
 def _(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
-    return J.anti_join(p, spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity >= 30").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"], max_matched=1.0)
+    return J.anti_join(p, spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity = 50 AND l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"])
 
 
 @query("J06_membership", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has_order FROM customer")
