@@ -66,22 +66,36 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(math.exp(p) for k in range(max(0, r + s - n), min(r, s) + 1) if (p := log(k)) <= at + 1e-7))
 
 
-def counts_before(df: DataFrame, value: str, groups: list[str] | None = None, ranges: int = 64) -> DataFrame:
+def ranged(df: DataFrame, value: str, steps: int = 9) -> DataFrame:
+    """The rows with ``_range``: which of ``2 ** steps`` parts, cut at approximate quantiles, the value falls into.
+
+    Cuts travel as one broadcast row and are searched by halves.
+    """
+    ranges = 1 << steps
+    cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))  # one row
+    halves = F.array(*(F.lit(1 << i) for i in reversed(range(steps))))
+    place = F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get("_cuts", at + half - 1) <= F.col(value), at + half).otherwise(at))
+    return df.crossJoin(F.broadcast(cuts)).withColumn("_range", place).drop("_cuts")
+
+
+def _bases(rows: DataFrame, groups: list[str], n) -> DataFrame:
+    """(groups, _range, _rows, _base): rows of each range, and of the ranges before it in its group."""
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    total = rows.groupBy(*groups, "_range").agg(n.alias("_rows"))
+    return total.withColumn("_base", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+
+
+def counts_before(df: DataFrame, value: str, groups: list[str] | None = None, steps: int = 9) -> DataFrame:
     """(groups, value, n, before): rows of each distinct value, and rows of smaller ones in its group.
 
-    Values are dealt to ranges at approximate quantiles; counts are summed for whole
-    ranges (a few rows) and within each range, so no task has a whole column.
+    Counts are summed for whole ranges (a few rows) and within each range, so no task
+    has a whole column.
     """
     groups = groups or []
-    per = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    cuts = per.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))  # one row
-    per = per.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
-    total = per.groupBy(*groups, "_range").agg(F.sum("n").alias("_rows"))
-    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    total = total.select(*groups, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
+    per = ranged(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n")), value, steps)
     inside = Window.partitionBy(*groups, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return per.join(total, [*groups, "_range"]).select(*groups, value, "n", (F.col("_base") + F.col("_in")).alias("before"))
+    return per.join(_bases(per, groups, F.sum("n")), [*groups, "_range"]).select(*groups, value, "n", (F.col("_base") + F.col("_in")).alias("before"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -91,18 +105,28 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return both.join(ranks(x), x).join(ranks(y), y).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("rho"))
 
 
-def quantiles(df: DataFrame, value: str, points: dict[str, float], groups: list[str]) -> DataFrame:
-    """Exact quantiles by group, interpolated, from counts of distinct values in ranges."""
-    per = counts_before(df, value, groups)
-    size = per.groupBy(*groups).agg(F.sum("n").alias("_size"))
-    per = per.join(size, groups)
+def quantiles(df: DataFrame, value: str, points: dict[str, float], groups: list[str], steps: int = 9) -> DataFrame:
+    """Exact quantiles by group, interpolated.
+
+    Counts by range, summed on the map side, tell which ranges hold the wanted places;
+    only the rows of those ranges are shuffled and put in order.
+    """
+    rows = ranged(df.filter(F.col(value).isNotNull()).select(*groups, value), value, steps)
+    total = _bases(rows, groups, F.count(F.lit(1))).withColumn("_size", F.sum("_rows").over(Window.partitionBy(*groups)))
+    places = {name: (F.col("_size") - 1) * q for name, q in points.items()}
+    within = lambda p, low, n: (low <= p) & (p < low + n)
+    some = F.lit(False)
+    for at in places.values():
+        some |= within(F.floor(at), F.col("_base"), F.col("_rows")) | within(F.ceil(at), F.col("_base"), F.col("_rows"))
+    held = rows.join(total.filter(some).select(*groups, "_range", "_base", "_size"), [*groups, "_range"])
+    per = held.groupBy(*groups, "_range", "_base", "_size", value).agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy(*groups, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.col("_base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     out = []
-    for name, q in points.items():
-        at = (F.col("_size") - 1) * q
-        has = lambda p: F.max(F.when((F.col("before") <= p) & (p < F.col("before") + F.col("n")), F.col(value)))
+    for name, at in places.items():
+        has = lambda p: F.max(F.when(within(p, F.col("_before"), F.col("n")), F.col(value)))
         low, high = has(F.floor(at)), has(F.ceil(at))
-        part = F.max(at - F.floor(at))
-        out.append((low + (high - low) * part).alias(name))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
     return per.groupBy(*groups).agg(*out)
 
 
