@@ -161,6 +161,11 @@ def unmatched_keys(left: DataFrame, right: DataFrame, keys: list[str], limit: in
     return left.select(*keys).distinct().join(right.select(*keys), keys, "left_anti").orderBy(*keys).limit(limit)
 
 
+def join_renamed(left: DataFrame, right: DataFrame, keys: dict[str, str], how: str = "left") -> DataFrame:
+    """Join on keys whose names differ (left to right); the left's names stay."""
+    return left.join(right.withColumnsRenamed({r: l for l, r in keys.items()}), list(keys), how)
+
+
 def with_membership(left: DataFrame, right: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Add whether a row's key is in the other table."""
     there = right.select(*keys).distinct().withColumn("_in", F.lit(True))

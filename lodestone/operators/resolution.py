@@ -185,6 +185,12 @@ def attribution(people: DataFrame, privileges: DataFrame, exact: DataFrame, near
     return out.select(id_, F.coalesce("p", "e", F.when(sole, F.col("s"))).alias(org), tier.alias("tier"))
 
 
+def pick_first(rows: DataFrame, id_: str, order: list[str]) -> DataFrame:
+    """One row an id: the first by the given columns, missing ones last; the same on every run."""
+    place = F.row_number().over(Window.partitionBy(id_).orderBy(*(F.col(c).asc_nulls_last() for c in order)))
+    return rows.withColumn("_n", place).filter("_n = 1").drop("_n")
+
+
 def latest_reported(rows: DataFrame, id_: str, year: str, value: str) -> DataFrame:
     """The latest year's most reported value of each id, ties to the smaller value."""
     per = rows.filter(F.col(value).isNotNull()).groupBy(id_, year, value).agg(F.count(F.lit(1)).alias("n"))

@@ -254,6 +254,13 @@ def _(spark, sf_dir):
     return O.without_deactivated(o, "d", "re").select("o_orderkey")
 
 
+@query("O15_location_pick", "SELECT k, state, city, zip FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY state NULLS LAST, city NULLS LAST, zip NULLS LAST) AS n FROM (SELECT DISTINCT o_custkey AS k, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS state, o_orderpriority AS city, CAST(o_orderkey % 9 AS INTEGER) AS zip FROM orders)) WHERE n = 1")
+def _(spark, sf_dir):
+    state = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
+    rows = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), state.alias("state"), F.col("o_orderpriority").alias("city"), (F.col("o_orderkey") % 9).cast("int").alias("zip"))
+    return O.pick_first(rows, "k", ["state", "city", "zip"])
+
+
 @query("O16_affiliation_strength", "SELECT s_suppkey, CASE WHEN s_acctbal <= 0 THEN 'target_unidentified' WHEN s_nationkey % 4 = 0 THEN 'confirmed_solo_practitioner' ELSE 'confirmed_billing' END AS strength FROM supplier")
 def _(spark, sf_dir):
     return t(spark, sf_dir, "supplier").select("s_suppkey", O.affiliation_strength(F.col("s_acctbal") > 0, F.col("s_nationkey") % 4 == 0).alias("strength"))
@@ -351,12 +358,12 @@ def _(spark, sf_dir):
     return rows.select("n_nationkey", S.sentence("{n_name} ranks {rk} of {total} with {n} customers", F.when(F.col("n") >= 60, "one of the largest")).alias("sentence"))
 
 
-@query("F08_F11_person_names", "SELECT p_partkey, upper(split_part(p_name, ' ', 2)) AS first, CASE WHEN p_size > 25 THEN upper(p_type) END AS middle, upper(split_part(p_name, ' ', 1)) AS last, trim(p_name || ' ' || p_type) AS plain FROM part")
+@query("F08_F11_person_names", "SELECT p_partkey, upper(split_part(p_name, ' ', 2)) AS first, CASE WHEN p_size > 25 THEN upper(p_type) END AS middle, upper(split_part(p_name, ' ', 1)) AS last, trim(p_name || ' ' || p_type) AS plain, upper(p_name) || ' ' || p_size AS normal FROM part")
 def _(spark, sf_dir):
     a, b = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
     written = F.when(F.col("p_size") > 25, F.concat_ws(" ", F.concat(a, F.lit(",")), b, "p_type", F.lit("MSN"))).otherwise(F.concat_ws(" ", F.lit("Dr."), b, a, F.lit("RN")))
     noisy = F.concat_ws(" ", F.lit("Mrs."), "p_name", "p_type", F.lit("PhD"))
-    return t(spark, sf_dir, "part").select("p_partkey", S.parse_person(written).alias("n"), S.strip_name_noise(noisy).alias("plain")).select("p_partkey", "n.first", "n.middle", "n.last", "plain")
+    return t(spark, sf_dir, "part").select("p_partkey", S.parse_person(written).alias("n"), S.strip_name_noise(noisy).alias("plain"), S.normalise_text(F.concat_ws("--", "p_name", F.col("p_size").cast("string"))).alias("normal")).select("p_partkey", "n.first", "n.middle", "n.last", "plain", "normal")
 
 
 @query("F10_person_matches", "SELECT a.p_partkey, a.p_type = b.p_type AND list_has_any(string_split(a.p_name, ' '), string_split(b.p_name, ' ')) AS same FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")

@@ -234,11 +234,13 @@ def _(spark, sf_dir):
 
 
 @query("L40_best_slot", """
-SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 1 WHEN p_size <= 10 THEN 2 ELSE NULL END AS rank FROM part WHERE p_type = 'ECONOMY' OR p_size <= 10""")
+SELECT p_partkey, rank, CASE rank WHEN 1 THEN 1 WHEN 3 THEN 1 ELSE 2 END AS slot, CASE rank WHEN 1 THEN p_type WHEN 3 THEN p_type WHEN 2 THEN 'ECONOMY' ELSE 'PROMO' END AS code
+FROM (SELECT *, CASE WHEN p_type = 'ECONOMY' THEN 1 WHEN p_size <= 10 THEN 2 WHEN p_type IN ('PROMO', 'SMALL') THEN 3 WHEN p_size >= 45 THEN 4 END AS rank FROM part) WHERE rank IS NOT NULL""")
 def _(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    slots = F.array(F.struct(F.lit(1).alias("slot"), F.col("p_type").alias("code"), F.lit(True).alias("is_primary")), F.struct(F.lit(2).alias("slot"), F.when(F.col("p_size") <= 10, "ECONOMY").otherwise("-").alias("code"), F.lit(False).alias("is_primary")))
-    return p.select("p_partkey", L.best_slot(slots, ["ECONOMY"], [])["rank"].alias("rank")).filter("rank IS NOT NULL")
+    second = F.when(F.col("p_size") <= 10, "ECONOMY").when(F.col("p_size") >= 45, "PROMO").otherwise("-")
+    slots = F.array(F.struct(F.lit(1).alias("slot"), F.col("p_type").alias("code"), F.lit(True).alias("is_primary")), F.struct(F.lit(2).alias("slot"), second.alias("code"), F.lit(False).alias("is_primary")))
+    return p.select("p_partkey", L.best_slot(slots, ["ECONOMY"], ["PROMO", "SMALL"]).alias("s")).filter("s IS NOT NULL").select("p_partkey", "s.rank", "s.slot", "s.code")
 
 
 def _contract(left: str, right: str, lk: str, rk: str, where: str = "true"):
@@ -371,3 +373,20 @@ def _(spark, sf_dir):
     exact = p.filter("p_size < 20").groupBy("p_brand", "p_size").agg(F.min("p_name").alias("v"))
     loose = p.filter("p_size < 5").groupBy("p_brand").agg(F.min("p_name").alias("v"))
     return J.cascade_join(p.select("p_partkey", "p_brand", "p_size"), [(exact, ["p_brand", "p_size"], "exact"), (loose, ["p_brand"], "loose")], "v").select("p_partkey", "v", "v_source")
+
+
+@query("J07_renamed_keys", "SELECT l_orderkey, l_linenumber, o_orderdate AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linestatus = o_orderstatus")
+def _(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_linestatus")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", F.col("o_orderdate").alias("day"))
+    return J.join_renamed(li, o, {"l_orderkey": "o_orderkey", "l_linestatus": "o_orderstatus"}, "inner").select("l_orderkey", "l_linenumber", "day")
+
+
+@query("J21_period_then_ever", """
+WITH s AS (SELECT o_custkey AS k, CAST(year(o_orderdate) AS INTEGER) AS y, min(o_orderpriority) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2), e AS (SELECT o_custkey AS k, min(o_orderpriority) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+p AS (SELECT c_custkey AS k, 1992 + c_custkey % 7 AS y FROM customer)
+SELECT p.k, coalesce(s.v, e.v) AS v, CASE WHEN s.v IS NOT NULL THEN 'snapshot' WHEN e.v IS NOT NULL THEN 'ever' END AS v_source FROM p LEFT JOIN s ON s.k = p.k AND s.y = p.y LEFT JOIN e ON e.k = p.k""")
+def _(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("v"))
+    p = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), (1992 + F.col("c_custkey") % 7).cast("int").alias("y"))
+    return J.cascade_join(p, [(o.groupBy("k", "y").agg(F.min("v").alias("v")), ["k", "y"], "snapshot"), (o.groupBy("k").agg(F.min("v").alias("v")), ["k"], "ever")], "v").select("k", "v", "v_source")

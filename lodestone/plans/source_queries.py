@@ -156,6 +156,16 @@ def _(spark, sf_dir):
     return T.read_any(spark, path)
 
 
+@query("S25_shapes", "SELECT CAST(n_nationkey + 1 AS INTEGER) AS record, n_nationkey * 1.5 AS west, n_regionkey + 2.0 AS north, CAST(5 AS INTEGER) AS points FROM nation")
+def _(spark, sf_dir):
+    rows = sorted((x["n_nationkey"], x["n_regionkey"]) for x in _nation(spark, sf_dir).collect())  # a file of a few shapes
+    box = lambda x, y: [(x, y), (x, y + 2), (x + 1, y + 2), (x + 1, y), (x, y)]
+    path = T.scratch_path(spark, "shapes") + ".shp"
+    T.write_bytes(spark, path, T.shapefile([[box(n * 1.5, float(r))] for n, r in rows]))
+    x, y = F.transform("ring", lambda p: F.get(p, 0)), F.transform("ring", lambda p: F.get(p, 1))
+    return T.read_shapes(spark, path).select("record", F.array_min(x).alias("west"), F.array_max(y).alias("north"), F.size("ring").alias("points"))
+
+
 @query("S26_S28_registered", "SELECT 'lodestone_nation_1' AS name, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'lodestone_nation_2', (SELECT count(*) FROM region)")
 def _(spark, sf_dir):
     T.register({"lodestone_nation_1": _nation(spark, sf_dir), "lodestone_nation_2": t(spark, sf_dir, "region"), "lodestone_other": t(spark, sf_dir, "region")})

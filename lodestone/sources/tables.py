@@ -6,9 +6,12 @@ import csv
 import hashlib
 import json
 import re
+import struct
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -27,16 +30,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
-def write_note(spark: SparkSession, path: str, text: str) -> None:
-    """A small text file on any storage; one that exists is never replaced."""
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file on any storage; one that exists is never replaced."""
     fs, at = storage(spark, path)
     out = fs.create(at, False)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
 
 
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
 def read_note(spark: SparkSession, path: str) -> str:
     fs, at = storage(spark, path)
     stream = fs.open(at)
@@ -315,6 +322,51 @@ def split_searches(df: DataFrame, name: str, cap: int) -> DataFrame:
     return found.select("prefix", "exact", F.when(F.col("exact"), F.col("whole")).otherwise(F.col("n")).alias("n"))
 
 
+def polygons_of(content: bytes) -> Iterator[tuple[int, list[list[list[float]]]]]:
+    """(record, rings of [x, y]) of a shapefile's polygon records; empty shapes have none, other kinds are an error."""
+    at = 100
+    while at + 8 <= len(content):
+        record, words = struct.unpack_from(">ii", content, at)
+        kind = struct.unpack_from("<i", content, at + 8)[0]
+        if kind not in (0, 5):
+            raise ContractError(f"shape kind {kind} is no polygon")
+        rings: list[list[list[float]]] = []
+        if kind == 5:
+            n_parts, n_points = struct.unpack_from("<ii", content, at + 44)
+            parts = [*struct.unpack_from(f"<{n_parts}i", content, at + 52), n_points]
+            flat = struct.unpack_from(f"<{2 * n_points}d", content, at + 52 + 4 * n_parts)
+            points = [[flat[k], flat[k + 1]] for k in range(0, 2 * n_points, 2)]
+            rings = [points[a:b] for a, b in zip(parts, parts[1:], strict=False)]
+        yield record, rings
+        at += 8 + 2 * words
+
+
+def read_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, record, part, ring) of the polygons in shapefiles, one row a ring."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def parse(batches):
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                rows = [(name, record, part, ring) for record, rings in polygons_of(content) for part, ring in enumerate(rings)]
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], ["path", "record", "part", "ring"])
+
+    return files.mapInArrow(parse, "path string, record int, part int, ring array<array<double>>")
+
+
+def shapefile(polygons: list[list[list[tuple[float, float]]]]) -> bytes:
+    """The bytes of a shapefile with a polygon of rings for each entry."""
+    body = b""
+    for k, rings in enumerate(polygons, 1):
+        points = [p for ring in rings for p in ring]
+        starts = [sum(len(r) for r in rings[:i]) for i in range(len(rings))]
+        xs, ys = [p[0] for p in points] or [0.0], [p[1] for p in points] or [0.0]
+        shape = struct.pack("<i4dii", 5, min(xs), min(ys), max(xs), max(ys), len(rings), len(points)) + struct.pack(f"<{len(starts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
+        body += struct.pack(">ii", k, len(shape) // 2) + shape
+    return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<ii8d", 1000, 5, *[0.0] * 8) + body
+
+
 def tables_like(spark: SparkSession, pattern: str) -> list[str]:
     """Names of the catalog's tables and views that match."""
     return sorted(x.name for x in spark.catalog.listTables() if re.fullmatch(pattern, x.name))
