@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +44,41 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     This cuts the lineage: a lost executor costs only a reread, and the reread
-    table has a known size, by which Catalyst picks its join strategy.
+    table has a known size, by which Catalyst picks its join strategy.  Small shuffles
+    end in files of the advised size, not in one for each core: hundreds of small files
+    a table cost more than they gain.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the actions within, put back afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver forget finished plans, so that the files of their shuffles are removed now.
+
+    Spark removes them once the driver's garbage collector has found their plans, and
+    Python's the frames that hold those; a driver with little to do collects rarely,
+    and the disks fill meanwhile.
+    """
+    for _ in range(2):  # what the first round lets go of, the second one finds
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.1)
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the rows of one Arrow batch for this session (never raise the bound)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
