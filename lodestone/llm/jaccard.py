@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, durable, need, small_batches, table, with_hit
+from .common import bitmap_of, durable, need, release, small_batches, table, with_hit
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -270,46 +270,44 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def whole_sets(known: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rid, shingles) of the sets in ``wanted`` (rid, rep), read again from their texts."""
+    """The stored rows of ``wanted`` (rid, rep, ...) with their sets as ``shingles``, read again from their texts."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "shingles"])
 
-    spark = known.sparkSession
-    small_batches(spark)
-    texts = known.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    small_batches(known.sparkSession)
+    # Few texts are wanted: a bitmap keeps the others out of the shuffle.
+    texts = with_hit(known, known["doc_id"], bitmap_of(wanted, "rep", "jac-wanted-ids"), "hit").filter("hit").select("doc_id", "text")
+    texts = texts.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = texts.mapInArrow(whole, "sig binary, shingles binary").select(F.xxhash64("sig").alias("rid"), "shingles").groupBy("rid").agg(F.first("shingles").alias("shingles"))
-    # Few texts are wanted: a runtime Bloom filter (of bounded size) keeps the others out of the shuffle.
-    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "0")
-    try:
-        return durable(wanted.join(sets, "rid"), "jac-sets")
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return durable(wanted.join(sets, "rid"), "jac-sets")
 
 
 def split_buckets(members: DataFrame, known: DataFrame, reps: DataFrame, words: int, threshold: float, split: int, repeat: float, shrink: float) -> DataFrame:
     """(key, rid, n, size, total) with each bucket of more than ``split`` sets replaced by its parts, again and again."""
-    leaves, sets = members.filter(F.col("size") <= split), None
+    spark = known.sparkSession
+    leaves = members.filter(F.col("size") <= split)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, rid, n, buckets in zip(*(batch.column(c).to_pylist() for c in ("text", "rid", "n", "buckets")), strict=True):
+                s = shingles(text, words)
+                out += [(b, k, rid, n, _signature(s)) for b in buckets for k in (parts_of(s, b, threshold, repeat) if len(s) else ())]
+            kinds = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["bucket", "key", "rid", "n", "sig"])
+
     while members.filter(F.col("size") > split).limit(1).count():
         large = members.filter(F.col("size") > split)
-        if sets is None:
-            sets = whole_sets(known, large.select("rid").distinct().join(reps.select("rid", "rep"), "rid"), words)
-
-        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for rid, n, raw, buckets in zip(*(batch.column(c).to_pylist() for c in ("rid", "n", "shingles", "buckets")), strict=True):
-                    s = np.frombuffer(raw, dtype=np.uint64)
-                    out += [(b, k, rid, n) for b in buckets for k in (parts_of(s, b, threshold, repeat) if len(s) else ())]
-                columns = zip(*out, strict=True) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["bucket", "key", "rid", "n"])
-
-        asked = large.groupBy("rid").agg(F.first("n").alias("n"), F.collect_list("key").alias("buckets"))  # a few buckets a run
-        parts = durable(asked.join(sets.select("rid", "shingles"), "rid").select("rid", "n", "shingles", "buckets").mapInArrow(chosen, "bucket long, key long, rid long, n long"), "jac-parts")
+        asked = large.groupBy("rid").agg(F.first("n").alias("n"), F.collect_list("key").alias("buckets")).join(reps.select("rid", "rep"), "rid")  # a few buckets a run
+        asked = durable(asked.withColumnRenamed("rep", "doc_id"), "jac-asked")
+        small_batches(spark)
+        texts = with_hit(known, known["doc_id"], bitmap_of(asked, "doc_id", "jac-asked-ids"), "hit").filter("hit").select("doc_id", "text")
+        # An id may stand for several texts, or for one several times: only the set that is asked for counts, once.
+        parts = texts.join(asked, "doc_id").mapInArrow(chosen, "bucket long, key long, rid long, n long, sig binary")
+        parts = durable(parts.filter(F.col("rid") == F.xxhash64("sig")).select("bucket", "key", "rid", "n").distinct(), "jac-parts")
         sizes = parts.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
         whole = large.select("key", "size").distinct().withColumnsRenamed({"key": "bucket", "size": "of"})
         tight = sizes.groupBy("bucket").agg(F.max("size").alias("most")).join(whole, "bucket", "right")
@@ -318,6 +316,7 @@ def split_buckets(members: DataFrame, known: DataFrame, reps: DataFrame, words:
         opened = sizes.filter("size > 1").join(tight.filter("NOT tight").select("bucket"), "bucket")
         members = durable(parts.join(opened, ["bucket", "key"]).select("key", "rid", "n", "size", "total"), "jac-members")
         leaves = leaves.unionByName(members.filter(F.col("size") <= split))
+        release(spark)
     return leaves
 
 
@@ -337,22 +336,23 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     members = split_buckets(members, known, reps, words, threshold, split, repeat, shrink)
     keyed = members.groupBy("rid").agg(F.collect_list("key").alias("keys"))  # a few keys a run
     facts = durable(reps.join(keyed, "rid").select("rid", "n", "m", "rep", "keys", "sketch"), "jac-facts")
+    release(spark)
     chunks = F.ceil(F.greatest(F.col("size") / F.lit(chunk), F.col("total") / F.lit(CHUNK_SHINGLES))).cast("int")
     part = F.pmod(F.xxhash64("rid", "key"), chunks.cast("long")).cast("int")
     spread = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     spread = spread.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rid")
     small_batches(spark)
 
-    def by_bucket(df: DataFrame) -> DataFrame:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return df.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-
+    # Small buckets share tasks; Spark joins small partitions, never parts of a bucket.
+    by_bucket = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     sketched = spread.join(facts.select("rid", "n", "keys", "sketch"), "rid").select("key", "i", "j", "part", "rid", "n", "keys", "sketch")
     kept = durable(by_bucket(sketched).mapInArrow(_survivors(threshold), "key long, i int, j int, part int, rid long"), "jac-kept")
-    wanted = kept.select("rid").distinct().join(facts.select("rid", "rep", "m", "keys"), "rid")
+    release(spark)
+    wanted = durable(kept.select("rid").distinct().join(facts.select("rid", "rep", "m", "keys"), "rid"), "jac-wanted")
     sets = whole_sets(known, wanted, words)
     full = kept.join(sets, "rid").select("key", "i", "j", "part", "rid", "m", "keys", "shingles")
     found = durable(by_bucket(full).mapInArrow(_links(threshold), "a long, b long, links long"), "jac-links")
+    release(spark)
     links = found.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     labels = components(found.filter("b IS NOT NULL")).select(F.col("id").alias("rid"), "label")
     named = labels.join(reps.select("rid", "rep"), "rid")
