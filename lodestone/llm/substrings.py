@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, durable, need, small_batches, table, with_hit
+from .common import bitmap_of, durable, need, release, small_batches, table, with_hit
 
 LENGTH = 50
 GRAM = 20
@@ -370,7 +370,8 @@ def merged(packed: list[bytes]) -> np.ndarray:
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """Facts (doc_id, n_bytes, sha, first_id) of every row, and (doc_id, spans) lists for the distinct texts."""
     rows = need(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    facts = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    short = F.xxhash64("text").bitwiseAND(F.lit(int(_MASK40))).bitwiseOR(F.lit(1))
+    facts = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), short.alias("short"))
     facts = durable(facts, "sub-facts")
     firsts = facts.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
     facts = durable(facts.join(firsts, "sha"), "sub-ids")
@@ -378,11 +379,17 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tu
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole // PART_BYTES))
     long = rows.filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).withColumn("th", F.xxhash64("text"))
     shared = durable(shared_anchors(long, length, gram, parts), "sub-anchors")
-    own = facts.filter("doc_id = first_id").select("doc_id").distinct().withColumnRenamed("doc_id", "first")
-    active = long.withColumn("short", F.col("th").bitwiseAND(F.lit(int(_MASK40))).bitwiseOR(F.lit(1)))
-    active = active.join(shared, "short").join(own, F.col("doc_id") == F.col("first"), "left_semi")
+    release(docs.sparkSession)
+    # Lists go to the first document of each text; only then the texts are brought to them, once.
+    lists = facts.filter("doc_id = first_id").select("doc_id", "short").distinct().join(shared, "short")
+    lists = durable(lists.withColumnsRenamed({"doc_id": "first", "short": "s"}), "sub-lists")
+    active = long.withColumn("short", short)
+    active = with_hit(active, active["doc_id"], bitmap_of(lists, "first", "sub-active"), "hit").filter("hit").drop("hit")
+    active = active.join(lists, (F.col("doc_id") == F.col("first")) & (F.col("short") == F.col("s")))
     spans = covered(active, length, gram, parts).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    return facts, durable(spans, "sub-spans")
+    spans = durable(spans, "sub-spans")
+    release(docs.sparkSession)
+    return facts, spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
