@@ -54,6 +54,35 @@ def test_empty_tables(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).count() == 0
 
 
+def test_edge_tables(spark, edge):
+    """Every query answers for every row of the edge tables, with its contract's columns."""
+    columns = {
+        "op1_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+        "op2_topk": "query_id rank vec_id score",
+        "op3_fingerprint": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+        "op4_warc": "page_id payload_bytes payload_digest record_type refers_to",
+        "op5_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+        "op6_substring_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
+        "op7_toxicity": "doc_id held_out score predicted",
+        "op8_mixing": "doc_id size source_size target taken",
+        "op9_ngram_jaccard": "doc_id class_id n_links",
+        "op10_licences": "doc_id",
+    }
+    docs = collections.Counter(d for d, _ in docs_of(spark, edge))
+    for name, query in queries.QUERIES.items():
+        out = query(spark, edge)
+        assert out.columns[: len(columns[name].split())] == columns[name].split(), name
+        rows = out.collect()
+        if name == "op4_warc":
+            assert len(rows) == spark.read.parquet(f"{edge}/pages.parquet").count()
+        elif name == "op5_packing":
+            assert collections.Counter(r["doc_id"] for r in rows if r["piece"] == 0) == docs
+        elif name != "op2_topk":
+            assert collections.Counter(r["doc_id"] for r in rows) == docs, name
+        if name == "op7_toxicity":
+            assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+
+
 def test_pipeline_on_empty_and_edge(spark, empty, edge):
     import corpus_pipeline
 
