@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from test_oracle import rows
 
+from lodestone.operators import linkage as L
 from lodestone.plans import registry
 
 COPIES = 30
@@ -56,3 +57,14 @@ def test_copies(spark, copies, name):
     assert rows(df.toPandas()) == rows(con.sql(registry.oracle_sql()[name]).df())
     df.collect()
     assert joined(df._jdf.queryExecution().executedPlan()) <= MOST[name]
+
+
+def test_waterfall_reads_once(spark):
+    """Both tiers and the ties come out right where keys are shared by many rows; no join but one a tier, of as many rows as the left has."""
+    n = 4_000
+    kinds = [("sole", 1, 1, "name"), ("many", 1, 2, "place"), ("many", 2, None, None), ("many", 3, None, None), ("none", 1, None, None), (None, 1, None, None)]
+    left = spark.createDataFrame([(i, *kinds[i % 6][:2]) for i in range(n)], "id int, name string, place int")
+    register = spark.createDataFrame([(npi, name, place) for npi, name, place in ((1, "sole", 9), (2, "many", 1), (3, "many", 2), (4, "many", 2), (5, None, 1)) for _ in range(50)], "npi int, name string, place int")
+    df = L.waterfall(left, [("name", register.select("npi", "name"), ["name"]), ("place", register, ["name", "place"])], "id", "npi")
+    assert sorted(map(tuple, df.collect())) == [(i, *kinds[i % 6][2:]) for i in range(n) if kinds[i % 6][3]]
+    assert joined(df._jdf.queryExecution().executedPlan()) <= 2 * n
